@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import storage
+
+MODULES = (storage,)
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    return queries()["p4_found"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}

@@ -13,8 +13,18 @@ from pyspark.sql import functions as F
 _OWN_DIRS: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([here, *paths])
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``root``."""
+    importable(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
