@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import describe_groups, similarity_groups
+from tidemark.llm.garbled import garbled_documents
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neighbours import nearest
+from tidemark.llm.overlap import overlap_counts, split_overlap
 from tidemark.llm.sampling import distinct_records, proportional_sample
 from tidemark.llm.subset import varied_subset
 from tidemark.llm.tokens import token_ids
@@ -28,6 +30,15 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     return proportional_sample(table(spark, root, "datum"), table(spark, root, "label_targets"))[1]
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = split_overlap(table(spark, root, "datum"))
+    return pairs.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b"))
+
+
+def p2_report(spark: SparkSession, root: str) -> DataFrame:
+    return overlap_counts(split_overlap(table(spark, root, "datum")))
+
+
 def p3_subset(spark: SparkSession, root: str) -> DataFrame:
     return varied_subset(table(spark, root, "datum"), table(spark, root, "subset_jobs"))
 
@@ -67,6 +78,14 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mix_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return garbled_documents(table(spark, root, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, root: str) -> DataFrame:
+    return garbled_documents(table(spark, root, "documents"))
+
+
 def queries() -> dict:
-    names = ["p1_found", "p1_sample", "p1_report", "p3_subset", "p5_found", "p6_found", "p6_groups", "p7_ids", "p8_mixture", "p8_shares"]
+    names = ["p1_found", "p1_sample", "p1_report", "p2_found", "p2_report", "p3_subset", "p5_found", "p6_found", "p6_groups", "p7_ids", "p8_mixture", "p8_shares", "p9_found", "p9_restored"]
     return {n: globals()[n] for n in names}
