@@ -17,6 +17,11 @@ def doubles(v: Column | str) -> Column:
     return _c(v).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     """Sum of an array of doubles; null elements count as 0."""
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
@@ -64,16 +69,13 @@ def log_sum(a: Column | str, b: Column | str) -> Column:
 
 def log_sum_vec(v: Column | str) -> Column:
     """log of the sum of exponentials of an array; null if it is empty."""
-    x = doubles(v)
-    top = F.array_max(x)
-    return top + F.ln(total(F.transform(x, lambda e: F.exp(e - top))))
+    return let(doubles(v), lambda x: let(F.array_max(x), lambda top: top + F.ln(total(F.transform(x, lambda e: F.exp(e - top))))))
 
 
 def softmax(v: Column | str) -> Column:
     """Softmax; entries within 1e-15 of zero count as 1e-15, results are at most 1."""
     x = F.transform(doubles(v), lambda e: F.when(F.abs(e) < TINY, TINY).otherwise(e))
-    lse = log_sum_vec(x)
-    return F.transform(x, lambda e: F.least(F.exp(e - lse), F.lit(1.0)))
+    return let(x, lambda z: let(log_sum_vec(z), lambda lse: F.transform(z, lambda e: F.least(F.exp(e - lse), F.lit(1.0)))))
 
 
 def argmax(v: Column | str) -> Column:
@@ -90,10 +92,12 @@ def soft_threshold(x: Column | str, t: float) -> Column:
 
 def l2_project(v: Column | str, c: float) -> Column:
     """Scale by √(c / Σx²) if the squared norm is over ``c``."""
-    x = doubles(v)
-    norm = total(F.transform(x, lambda e: e * e))
-    scale = F.when(norm > c, F.sqrt(F.lit(float(c)) / norm)).otherwise(1.0)
-    return F.transform(x, lambda e: e * scale)
+
+    def scaled(x: Column) -> Column:
+        norm = total(F.transform(x, lambda e: e * e))
+        return let(F.when(norm > c, F.sqrt(F.lit(float(c)) / norm)).otherwise(1.0), lambda s: F.transform(x, lambda e: e * s))
+
+    return let(doubles(v), scaled)
 
 
 def lazy_decay(w: Column | str, rate: float, clock: Column | str, last: Column | str) -> Column:

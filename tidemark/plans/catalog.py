@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import storage
+from tidemark.plans import clocking, etl, priorities, storage, store, vectors
 
-MODULES = (storage,)
+MODULES = (store, clocking, priorities, vectors, etl, storage)
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return queries()["p4_found"](spark, "/root/testdata/sf0.001")
+    return store.flagship(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict:
