@@ -11,39 +11,35 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import norm_split, staged
 
-BANDS, SEGMENTS = 4, tuple(itertools.combinations(range(4), 2))
-STEP = 12.0
+BANDS, GROUPS, FINE_BANDS = 4, 4, 8
+SEGMENTS = tuple(itertools.combinations(range(BANDS), 2))
+STEP, EXTRA = 24.0, 0.5
 LEVELS = tuple(range(36, 205, 24))
+WORDS = FINE_BANDS * GROUPS * len(LEVELS) // 64
 
 
 def cells(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cell means of images [n, c, h, w] that mirroring left to right leaves alone.
 
-    Four bands of rows by distance-from-the-edge groups of columns, over all
-    channels: two groups for the codes [n, 4, 2], four for the fingerprint
-    [n, 16]. Where an image has too few rows or columns, a cell is empty and 0.
+    Bands of rows by groups of columns equally far from an edge, over all
+    channels: four bands for the codes [n, 4, 4], eight for the fingerprint
+    [n, 32]. Where an image has too few rows or columns, a cell is empty and 0.
     """
     n, _, h, w = images.shape
     folded = images.mean(axis=1, dtype=np.float64)
     folded = (folded + folded[:, :, ::-1]) / 2
-    edge = np.minimum(np.arange(w), np.arange(w)[::-1])
-    band = np.arange(h) * BANDS // h
+    group = np.minimum(np.arange(w), np.arange(w)[::-1]) * GROUPS // ((w + 1) // 2)
 
-    def means(parts: int) -> np.ndarray:
-        group = edge * parts // ((w + 1) // 2)
-        out = np.zeros((n, BANDS, parts))
-        for b in range(BANDS):
-            for g in range(parts):
-                block = folded[:, band == b][:, :, group == g]
-                if block.shape[1] and block.shape[2]:
-                    out[:, b, g] = block.mean(axis=(1, 2))
-        return out
+    def means(bands: int) -> np.ndarray:
+        band = np.arange(h) * bands // h
+        rows = np.stack([folded[:, band == b].mean(axis=1) if (band == b).any() else np.zeros((n, w)) for b in range(bands)], axis=1)
+        return np.stack([rows[:, :, group == g].mean(axis=2) if (group == g).any() else np.zeros((n, bands)) for g in range(GROUPS)], axis=2)
 
-    return means(2), means(4).reshape(n, -1)
+    return means(BANDS), means(FINE_BANDS).reshape(n, -1)
 
 
 def fingerprints(features: np.ndarray) -> np.ndarray:
-    """128 bits [n, 2] of 16 cell means: one bit per level a mean lies above.
+    """Bits [n, WORDS] (64 each) of the fine cell means: one bit per level a mean lies above.
 
     The Hamming distance of two fingerprints follows the sum of differences of
     their cell means, one bit for 24 grey levels.
@@ -64,27 +60,26 @@ def _mix(parts: list[np.ndarray]) -> np.ndarray:
 def segment_codes(features: np.ndarray, shape: tuple[int, int, int], slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and code of each segment of each image.
 
-    A segment is two of the four bands, so four cell means, each rounded down
+    A segment is two of the four bands, so eight cell means, each rounded down
     to steps. With ``slack`` every code that means within ``slack`` of these
     could have comes out, without it only the own one. Two images whose means
     in some two bands differ by no more than ``slack`` share a code of one's
     wide and the other's own.
     """
-    n = len(features)
     low, high = np.floor((features - slack) / STEP), np.floor((features + slack) / STEP)
     rows, codes = [], []
-    base = np.arange(n)
-    for s, (a, b) in enumerate(SEGMENTS):
-        lo = np.concatenate([low[:, a], low[:, b]], axis=1)
-        hi = np.concatenate([high[:, a], high[:, b]], axis=1)
-        for choice in itertools.product((0, 1), repeat=lo.shape[1]):
-            up = np.array(choice, bool)
-            ok = (hi[:, up] > lo[:, up]).all(axis=1)
-            if ok.any():
-                cell = np.where(up, hi, lo)[ok]
-                rows.append(base[ok])
-                fixed = [np.full(len(cell), v) for v in (*shape, s)]
-                codes.append(_mix([*fixed, *cell.T]))
+    for s, bands in enumerate(SEGMENTS):
+        row = np.arange(len(features))
+        code = _mix([np.full(len(row), v) for v in (*shape, s)])
+        for b in bands:
+            for g in range(GROUPS):
+                lo, hi = low[row, b, g], high[row, b, g]
+                both = np.flatnonzero(hi > lo)
+                at = np.concatenate([lo, hi[both]])
+                row, code = np.concatenate([row, row[both]]), np.concatenate([code, code[both]])
+                code = _mix([code, at])
+        rows.append(row)
+        codes.append(code)
     return np.concatenate(rows), np.concatenate(codes)
 
 
@@ -102,17 +97,19 @@ def _pixels(column: pa.Array, rows: np.ndarray, shape: tuple[int, int, int]) ->
 
 
 def _coded(contents: DataFrame, slack: float) -> DataFrame:
+    words = [f"bits{i}" for i in range(WORDS)]
+
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 for shape, rows in _by_shape(part, 1):
-                    two, four = cells(_pixels(part.column(4), rows, shape))
-                    prints = fingerprints(four)
-                    row, code = segment_codes(two, shape, slack)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[row])), pa.array(code), pa.array(prints[row, 0]), pa.array(prints[row, 1])], ["content", "code", "bits0", "bits1"])
+                    coarse, fine = cells(_pixels(part.column(4), rows, shape))
+                    prints = fingerprints(fine)
+                    row, code = segment_codes(coarse, shape, slack)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[row])), pa.array(code), *[pa.array(prints[row, i]) for i in range(WORDS)]], ["cid", "code", *words])
 
-    return contents.select("content", "channels", "height", "width", "data").mapInArrow(run, "content string, code bigint, bits0 bigint, bits1 bigint")
+    return contents.select("cid", "channels", "height", "width", "data").mapInArrow(run, "cid bigint, code bigint, " + ", ".join(f"{w} bigint" for w in words))
 
 
 def _close(pairs: DataFrame, most: float) -> DataFrame:
@@ -134,7 +131,7 @@ def _close(pairs: DataFrame, most: float) -> DataFrame:
     return pairs.select("a", "b", "channels", "height", "width", "data_a", "data_b").mapInArrow(run, "a string, b string")
 
 
-def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 12) -> DataFrame:
+def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 16) -> DataFrame:
     """Pairs of a train record and a val or test record with nearly equal images.
 
     Returns ``train_id, other_id, split, source`` (split and source of the
@@ -145,12 +142,13 @@ def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 12) -> Data
     Equal images are one content, however many copies there are. Contents of
     the two sides meet where they share a code of one of six segments
     (:func:`segment_codes`; the evaluation side looks into every code within
-    ``most``), and their fingerprints differ in at most ``radius`` of 128 bits,
-    tested inside the join. What remains is compared byte by byte. Both codes
-    and fingerprint ignore mirroring, so one search does for both. Candidates
-    are missed only if three of four bands of rows have each a mean off by more
-    than ``most``, which an average of ``most`` allows only for a few large
-    changes in three bands. Hot codes are split by the adaptive join.
+    ``most`` and a half level), and their fingerprints differ in at most
+    ``radius`` of 256 bits, tested inside the join. What remains is compared
+    byte by byte. Codes and fingerprint ignore mirroring, so one search does
+    for both. A pair is missed only if in three of four bands of rows some cell
+    mean is off by more than that, which an average of ``most`` allows for a
+    few large changes spread over three bands. Hot codes are split by the
+    adaptive join.
 
     Records without a full shape, with null or empty data or data of another
     length, and with a null or other split take no part; null sources stay
@@ -164,15 +162,18 @@ def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 12) -> Data
     train = F.col("split") == "train"
     contents = staged(d.groupBy("content", *shape).agg(F.first("data").alias("data"), F.max(train).alias("in_train"), F.max(~train).alias("in_other")), "p2-contents")
     key = F.md5(F.concat_ws("x", *shape, "content"))
-    contents = contents.withColumn("content", key)
-    left = _coded(contents.where("in_other"), most + 1e-9)
-    right = _coded(contents.where("in_train"), 0.0).select(F.col("content").alias("other"), F.col("code").alias("code2"), F.col("bits0").alias("o0"), F.col("bits1").alias("o1"))
-    apart = F.bit_count(F.col("bits0").bitwiseXOR(F.col("o0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("o1")))
-    met = left.join(right, (F.col("code") == F.col("code2")) & (F.col("content") != F.col("other")) & (apart <= radius))
-    pairs = staged(met.select(F.col("content").alias("a"), F.col("other").alias("b")).distinct(), "p2-candidates")
-    side_a = contents.select(F.col("content").alias("a"), *shape, F.col("data").alias("data_a"))
-    side_b = contents.select(F.col("content").alias("b"), F.col("data").alias("data_b"))
-    close = _close(pairs.join(side_a, "a").join(side_b, "b"), most)
+    # Codes travel with a 64-bit hash of the content; contents that should share one are told apart by the comparison.
+    contents = contents.withColumn("content", key).withColumn("cid", F.xxhash64("content"))
+    left = _coded(contents.where("in_other"), most + EXTRA)
+    right = _coded(contents.where("in_train"), 0.0)
+    right = right.select(*[F.col(c).alias(f"{c}_t") for c in right.columns])
+    apart = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"bits{i}_t"))) for i in range(WORDS)), F.lit(0))
+    met = left.join(right, (F.col("code") == F.col("code_t")) & (F.col("cid") != F.col("cid_t")) & (apart <= radius))
+    pairs = staged(met.select("cid", "cid_t").distinct(), "p2-candidates")
+    side_a = contents.where("in_other").select("cid", F.col("content").alias("a"), *shape, F.col("data").alias("data_a"))
+    side_b = contents.where("in_train").select(F.col("cid").alias("cid_t"), F.col("content").alias("b"), *[F.col(c).alias(f"{c}_t") for c in shape], F.col("data").alias("data_b"))
+    alike = pairs.join(side_a, "cid").join(side_b, "cid_t").where(" and ".join(f"{c} = {c}_t" for c in shape))
+    close = _close(alike, most)
     same = contents.where("in_train and in_other").select(F.col("content").alias("a"), F.col("content").alias("b"))
     links = close.unionByName(same)
     members = d.select(key.alias("content"), "datum_id", "split", "source", train.alias("is_train")).distinct()
