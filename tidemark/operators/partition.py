@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import prefix_sum_by_unit
@@ -86,11 +87,12 @@ def _ranged(df: DataFrame, order: str) -> DataFrame:
     return df.crossJoin(F.broadcast(span)).withColumn("__u", F.least((F.col(order) - F.col("__lo")) / width, F.lit(1 - 1e-12))).drop("__lo", "__hi")
 
 
-def greedy_parts(sizes: DataFrame, key: str, weight: str, target: float, mean: float) -> DataFrame:
-    """Sequential cut: a part ends when its weight passes target − mean.
+def greedy_parts(sizes: DataFrame, key: str, weight: str, target: float, mean: float, block: int = 1_000_000) -> DataFrame:
+    """``key, weight, part``: sequential cut; a part ends when its weight passes target − mean.
 
-    The cut resets at every part, so it is one pass over the keys in order. Only
-    ``(key, weight)`` pairs go through it.
+    The cut begins anew at each part, so it can't come from one running sum. It
+    runs over ``block`` ids at a time, each block a task of its own, and a block
+    begins a new part; parts are numbered in order over all blocks.
     """
     import pandas as pd
 
@@ -102,10 +104,14 @@ def greedy_parts(sizes: DataFrame, key: str, weight: str, target: float, mean: f
             total += w
             if total > target - mean:
                 part, total = part + 1, 0.0
-        return pd.DataFrame({key: pdf[key], weight: pdf[weight], "part": out})
+        return pd.DataFrame({key: pdf[key], weight: pdf[weight], "__block": pdf["__block"], "__part": out})
 
     kinds = {c: sizes.schema[c].dataType.simpleString() for c in (key, weight)}
-    return sizes.select(key, weight).groupBy(F.lit(0)).applyInPandas(run, f"{key} {kinds[key]}, {weight} {kinds[weight]}, part int")
+    blocks = sizes.select(key, weight, F.floor(F.col(key) / block).cast("bigint").alias("__block"))
+    cut = blocks.groupBy("__block").applyInPandas(run, f"{key} {kinds[key]}, {weight} {kinds[weight]}, __block bigint, __part int")
+    counts = cut.groupBy("__block").agg((F.max("__part") + 1).alias("__n"))
+    first = counts.select("__block", (F.sum("__n").over(W.orderBy("__block")) - F.col("__n")).alias("__first"))  # one row a block
+    return cut.join(first, "__block").select(key, weight, (F.col("__first") + F.col("__part")).cast("int").alias("part"))
 
 
 def quantile_labels(scores: DataFrame, score: str, buckets: int, key: str, out: str = "label") -> DataFrame:
