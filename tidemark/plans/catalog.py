@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import clocking, etl, losses, priorities, storage, store, vectors
+from tidemark.plans import clocking, etl, losses, optimisers, priorities, storage, store, topics, vectors
 
-MODULES = (store, clocking, priorities, vectors, etl, losses, storage)
+MODULES = (store, clocking, priorities, vectors, etl, losses, optimisers, topics, storage)
 
 
 def entry(spark: SparkSession) -> DataFrame:
