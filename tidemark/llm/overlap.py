@@ -14,7 +14,7 @@ from tidemark.runtime import norm_split, staged
 BANDS, GROUPS, FINE_BANDS = 4, 4, 8
 SEGMENTS = tuple(itertools.combinations(range(BANDS), 2))
 STEP, EXTRA = 24.0, 0.5
-LEVELS = tuple(range(36, 205, 24))
+LEVELS = tuple(range(36, 213, 16))
 WORDS = FINE_BANDS * GROUPS * len(LEVELS) // 64
 
 
@@ -42,7 +42,7 @@ def fingerprints(features: np.ndarray) -> np.ndarray:
     """Bits [n, WORDS] (64 each) of the fine cell means: one bit per level a mean lies above.
 
     The Hamming distance of two fingerprints follows the sum of differences of
-    their cell means, one bit for 24 grey levels.
+    their cell means, one bit for 16 grey levels.
     """
     bits = features[:, :, None] > np.array(LEVELS)
     packed = np.packbits(bits.reshape(len(features), -1), axis=1)
@@ -131,7 +131,7 @@ def _close(pairs: DataFrame, most: float) -> DataFrame:
     return pairs.select("a", "b", "channels", "height", "width", "data_a", "data_b").mapInArrow(run, "a string, b string")
 
 
-def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 16) -> DataFrame:
+def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 14) -> DataFrame:
     """Pairs of a train record and a val or test record with nearly equal images.
 
     Returns ``train_id, other_id, split, source`` (split and source of the
@@ -143,7 +143,7 @@ def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 16) -> Data
     the two sides meet where they share a code of one of six segments
     (:func:`segment_codes`; the evaluation side looks into every code within
     ``most`` and a half level), and their fingerprints differ in at most
-    ``radius`` of 256 bits, tested inside the join. What remains is compared
+    ``radius`` of 384 bits, tested inside the join. What remains is compared
     byte by byte. Codes and fingerprint ignore mirroring, so one search does
     for both. A pair is missed only if in three of four bands of rows some cell
     mean is off by more than that, which an average of ``most`` allows for a
