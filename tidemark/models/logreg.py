@@ -129,30 +129,33 @@ def train_classes(data: DataFrame, classes: int, dims: int, epochs: int, eta: fl
     return _train(data, classes, dims, epochs, eta, decay, workers, batch)
 
 
+def _epoch_of_worker(start: np.ndarray, rate: float, batch: int):
+    """A worker's epoch from given weights: the change of the weights and the number of rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = start.copy()
+        pdf = pdf.sort_values("id")
+        x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy()
+        for s in range(0, len(y), batch):
+            a, b = x[s : s + batch], y[s : s + batch]
+            z = a @ own.T
+            z -= z.max(axis=1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(b)), b] -= 1
+            own -= rate * (p.T @ a) / len(b)
+        return pd.DataFrame({"delta": [(own - start).tobytes()], "n": [len(y)]})
+
+    return run
+
+
 def _train(data: DataFrame, classes: int, dims: int, epochs: int, eta: float, decay: float, workers: int, batch: int) -> tuple[DataFrame, DataFrame]:
     spark = data.sparkSession
     rows = staged(data.select("id", F.col("x").cast("array<double>").alias("x"), "y", F.pmod(F.xxhash64("id"), F.lit(workers)).cast("int").alias("worker")), "train")
     w = np.zeros((classes, dims))
     history = []
     for epoch in range(epochs):
-        rate = eta * decay**epoch
-        start = w.tobytes()
-
-        def run(pdf: pd.DataFrame, rate=rate, start=start) -> pd.DataFrame:
-            own = np.frombuffer(start).reshape(classes, dims).copy()
-            pdf = pdf.sort_values("id")
-            x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy()
-            for s in range(0, len(y), batch):
-                a, b = x[s : s + batch], y[s : s + batch]
-                z = a @ own.T
-                z -= z.max(axis=1, keepdims=True)
-                p = np.exp(z)
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(b)), b] -= 1
-                own -= rate * (p.T @ a) / len(b)
-            return pd.DataFrame({"delta": [(own - np.frombuffer(start).reshape(classes, dims)).tobytes()], "n": [len(y)]})
-
-        parts = rows.groupBy("worker").applyInPandas(run, "delta binary, n bigint").collect()  # one model per worker
+        parts = rows.groupBy("worker").applyInPandas(_epoch_of_worker(w, eta * decay**epoch, batch), "delta binary, n bigint").collect()  # one model per worker
         total = sum(p.n for p in parts)
         w = w + sum(np.frombuffer(p.delta).reshape(classes, dims) * (p.n / total) for p in parts) if total else w
         table = weights_table(spark, w)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import clocking, etl, losses, networks, optimisers, priorities, storage, store, topics, vectors
+from tidemark.plans import clocking, etl, losses, networks, optimisers, priorities, storage, store, streams, topics, training, vectors
 
-MODULES = (store, clocking, priorities, vectors, etl, losses, optimisers, topics, networks, storage)
+MODULES = (store, clocking, priorities, vectors, etl, losses, optimisers, topics, networks, streams, training, storage)
 
 
 def entry(spark: SparkSession) -> DataFrame:
