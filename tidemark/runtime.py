@@ -75,6 +75,13 @@ def hash_unit(*cols: Column | str, seed: int = 0) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
+def text_unit(*cols: Column | str, seed: int = 0) -> Column:
+    """As :func:`hash_unit`, from the MD5 of the values as text, so that other engines can follow it."""
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("~")) for c in cols]
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 13)
+    return F.conv(digits, 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
+
+
 def norm_split(col: Column | str) -> Column:
     """Split names compare without regard to case and surrounding blanks."""
     c = F.col(col) if isinstance(col, str) else col
