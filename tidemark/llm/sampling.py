@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import rank_by_unit
-from tidemark.runtime import hash_unit, norm_split, staged
+from tidemark.runtime import norm_split, staged, text_unit
 
 
 def distinct_records(datum: DataFrame, *cols: str) -> DataFrame:
@@ -53,7 +52,7 @@ def proportional_sample(datum: DataFrame, targets: DataFrame, seed: int = 1) ->
     records = distinct_records(datum, "split", "label").select("datum_id", norm_split("split").alias("split"), "label")
     records = staged(records.where("split is not null and label is not null"), "p1-records")
     quotas = staged(_quotas(records, targets), "p1-quotas")
-    unit = hash_unit("plan_id", "datum_id", seed=seed)
+    unit = text_unit("plan_id", "datum_id", seed=seed)
     need = F.col("quota").cast("double")
     rate = F.least(F.lit(1.0), (need + 4 * F.sqrt(need) + 4) / F.greatest(F.col("available"), F.lit(1)))
     wanted = quotas.where("quota > 0").select("plan_id", "split", "label", "quota", rate.alias("rate"))

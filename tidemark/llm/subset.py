@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import rank_by_unit
-from tidemark.runtime import hash_unit, norm_split
+from tidemark.runtime import norm_split, text_unit
 
 DIMS = 64
 
@@ -53,9 +53,9 @@ def varied_subset(datum: DataFrame, jobs: DataFrame, bits: int = 10, seed: int =
     j = jobs.where("n_records > 0").select("job_id", norm_split("split").alias("want"), F.col("n_records").cast("bigint").alias("k"))
     # Jobs are a table of settings, a handful of rows; each record goes to the jobs of its split and to those for all.
     rows = rows.join(j, F.col("want").isNull() | (F.col("want") == F.col("split")))
-    rows = rows.select("job_id", "k", "datum_id", "label", "code").withColumn("u", hash_unit("datum_id", seed=seed))
+    rows = rows.select("job_id", "k", "datum_id", "label", "code").withColumn("u", text_unit("datum_id", seed=seed))
     ranked = rank_by_unit(rows, ["job_id", "label", "code"], "u", "datum_id").where("rank <= k")
-    cells = ranked.where("rank = 1").select("job_id", "label", "code", hash_unit("label", "code", seed=seed + 1).alias("h"))
+    cells = ranked.where("rank = 1").select("job_id", "label", "code", text_unit("label", "code", seed=seed + 1).alias("h"))
     cells = cells.withColumn("turn", F.row_number().over(W.partitionBy("job_id", "code").orderBy("h", "label")))
     cells = cells.withColumn("round", F.row_number().over(W.partitionBy("job_id", "turn", "label").orderBy("h", "code")))
     cell = cells.select(F.col("job_id").alias("j"), F.col("label").alias("l"), F.col("code").alias("c"), "turn", "round", "h")
