@@ -18,7 +18,7 @@ READ_AS = ("cp1252", "cp1251", "cp1250", "cp1253", "cp1254", "cp850", "cp437", "
 # Encodings of several bytes a sign that a text may wrongly be read in.
 READ_AS_WIDE = ("gbk", "cp932", "big5", "euc_kr")
 # Encodings a text may have had, besides UTF-8.
-WRITTEN_NARROW = ("cp1252", "cp1251", "cp1250", "cp1253", "cp1254", "cp850", "cp437", "cp866", "mac_roman", "koi8_r")
+WRITTEN_NARROW = ("cp1252", "cp1251", "cp1250", "cp1253", "cp1254", "cp850", "cp437", "cp866", "mac_roman", "koi8_r", "iso8859_2")
 WRITTEN_WIDE = ("gb18030", "euc_jp", "cp932", "big5", "euc_kr")
 LOST = "�"
 BAD = "￿"
@@ -136,8 +136,8 @@ def stretches(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def _symbols(s: str) -> str:
-    """A stretch as the language model sees it."""
-    return "\x02" + "".join((c if c.isalpha() else "0" if c.isdigit() else " ") if c.isascii() else c for c in s.lower()) + "\x03"
+    """A stretch as the language model sees it; case counts outside ASCII, since some swaps only change it."""
+    return "\x02" + "".join((c.lower() if c.isalpha() else "0" if c.isdigit() else " ") if c.isascii() else c for c in s) + "\x03"
 
 
 class Bigrams:
@@ -171,12 +171,30 @@ class Bigrams:
         return out
 
 
+    def score_without(self, s: str) -> float:
+        """Log probability of a stretch by what the model knows from elsewhere: one count of each of its own pairs is left out."""
+        z = _symbols(s)
+        own = Counter(z[i : i + 2] for i in range(len(z) - 1))
+        left: Counter = Counter()
+        for p, n in own.items():
+            left[p[0]] += n
+        out = 0.0
+        for p, n in own.items():
+            base = self.base.get(p[1], self.unseen)
+            out += n * math.log((max(self.pair.get(p, 0.0) - n, 0.0) + base) / (max(self.left.get(p[0], 0.0) - left[p[0]], 0.0) + 1.0))
+        return out
+
+
 def pairs_of(s: str) -> list[str]:
     z = _symbols(s)
     return [z[i : i + 2] for i in range(len(z) - 1)]
 
 
 SOUND = ""
+# Log odds from which a stretch speaks for a one-byte or East Asian swap, which a whole text then has to bear out.
+CLEAR = 1.5
+# What a distinct stretch that such a swap would spoil speaks against it at most.
+AGAINST = 3.0
 # Log shares granted to a swap before any stretch shows it, and the log odds of a control sign of 0x80 to 0x9f in sound text.
 LEAST_UTF8, LEAST_SWAP, CONTROL = math.log(0.3), math.log(1e-4), -6.0
 
@@ -200,7 +218,7 @@ class SwapModel:
 
     def gains(self, source: str, s: str, options: list[tuple[str, str]]) -> list[tuple[float, str, str]]:
         """By how much (log odds) each reading beats taking the stretch as sound, best first."""
-        own = self.bigrams.score(s) + self.weight(source, SOUND) + CONTROL * sum("\x80" <= c < "\xa0" for c in s)
+        own = self.bigrams.score_without(s) + self.weight(source, SOUND) + CONTROL * sum("\x80" <= c < "\xa0" for c in s)
         out = [(self.bigrams.score(r) + self.weight(source, h) - own, h, r) for h, r in options]
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
@@ -303,15 +321,24 @@ def _lost_in(text: str) -> bool:
     return False
 
 
-def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: float = 1.0, least_swap: float = 8.0) -> tuple[str, str] | None:
+def _changes(s: str, swap: str) -> bool:
+    """Whether undoing a swap would change a stretch; of the signs that two code pages share it wouldn't."""
+    written, read_as = swap.split("<")
+    return written not in WRITTEN_NARROW or read_as not in READ_AS or s.translate(swap_table(read_as, written)) != s
+
+
+def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: float = 1.0, least_swap: float = 12.0) -> tuple[str, str] | None:
     """The swap by which a text was garbled, and the text with the garbled stretches restored; None if it is sound.
 
     A stretch is garbled if one of its readings beats taking it as sound, and
     not quoted: a line that holds the proper reading too shows both on purpose.
     A swap of UTF-8 needs less evidence in all, since few sound stretches make
-    valid UTF-8 in another code page's bytes; any other swap needs more.
+    valid UTF-8 in another code page's bytes; any other swap needs more, which
+    the text's stretches give together.
     """
     hits = []
+    seen: set[str] = set()
+    swaps: set[str] = set()
     evidence: dict[str, float] = defaultdict(float)
     for lo, hi, a, b in stretches(text):
         s = text[lo:hi]
@@ -320,6 +347,10 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
         if gains is None:
             gains = cache[key] = [g for g in model.gains(source, s, readings(s) if LOST not in s else []) if g[0] > -20][:6]
         if not gains:
+            if s not in seen:
+                seen.add(s)
+                for h in swaps:
+                    evidence[h] -= AGAINST * _changes(s, h)
             continue
         left, right = text.rfind("\n", 0, lo) + 1, text.find("\n", hi)
         around = text[left:lo] + "\0" + text[hi : right if right >= 0 else len(text)]
@@ -328,8 +359,14 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
         if core and core in around:
             continue
         hits.append((lo, hi, gains))
-        if gains[0][0] > 0:
+        if gains[0][0] > 0 and gains[0][1].startswith("utf_8"):
             evidence[gains[0][1]] += gains[0][0]
+        if s not in seen:  # a repeated stretch is no further evidence
+            seen.add(s)
+            for h in {h for _, h, _ in gains if not h.startswith("utf_8")} | swaps:
+                odds = next((g - model.weight(source, h) for g, k, _ in gains if k == h), -AGAINST * _changes(s, h))
+                swaps.add(h)
+                evidence[h] += odds if odds >= CLEAR else max(min(odds, 0.0), -AGAINST)
     cause = max(evidence, key=lambda h: (evidence[h], h), default=None)
     if cause is not None and evidence[cause] < (least_utf8 if cause.startswith("utf_8") else least_swap):
         cause = None
