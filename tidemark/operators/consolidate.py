@@ -17,6 +17,7 @@ from tidemark.sources.frames import BrokenData, frame_ends, pack_record, unpack_
 
 TARGET_BYTES = 128 << 20
 FRAME_BYTES = 1 << 20
+RUN_RECORDS = 1 << 16
 BOM = b"\xef\xbb\xbf"
 
 MANIFEST = "part string, source string, at bigint, length bigint, crc bigint, n_records bigint"
@@ -185,7 +186,10 @@ def consolidate_records(records: DataFrame, files: DataFrame, out: str | None =
     """
     spark = records.sparkSession
     out = out or f"{shared_dir(spark)}/tidemark/consolidated-{uuid.uuid4().hex}"
-    kept = distinct_stored(records, files).repartition("db_name", "file_id").sortWithinPartitions("db_name", "file_id", "rec_no")
+    # A run of record numbers is the unit of a task, so one huge file is no single task's.
+    run_of = F.floor(F.col("rec_no") / RUN_RECORDS).cast("int").alias("run")
+    kept = distinct_stored(records, files).select("db_name", "file_id", run_of, "rec_no", "datum_key", "label", "data")
+    kept = kept.repartition("db_name", "file_id", "run").sortWithinPartitions("db_name", "file_id", "run", "rec_no")
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
@@ -202,13 +206,13 @@ def consolidate_records(records: DataFrame, files: DataFrame, out: str | None =
             nonlocal done
             columns = list(zip(*done)) if done else [[]] * 5
             done = []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["family", "source", "piece", "n_records", "body"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["family", "source", "piece", "n_records", "body"])
 
         for b in batches:
-            for db, file_id, rec_no, key, label, data in zip(*[c.to_pylist() for c in b.columns]):
-                if (db, file_id) != now:
+            for db, file_id, run_no, rec_no, key, label, data in zip(*[c.to_pylist() for c in b.columns]):
+                if (db, file_id, run_no) != now:
                     flush()
-                    now, piece = (db, file_id), 0
+                    now, piece = (db, file_id, run_no), (run_no or 0) * RUN_RECORDS
                 held.append(pack_record(file_id, rec_no, label, key, data))
                 size += len(held[-1])
                 if size >= frame_bytes:
@@ -217,7 +221,7 @@ def consolidate_records(records: DataFrame, files: DataFrame, out: str | None =
         flush()
         yield batch()
 
-    frames = staged(kept.select("db_name", "file_id", "rec_no", "datum_key", "label", "data").mapInArrow(run, "family string, source string, piece int, n_records bigint, body binary"), "frames")
+    frames = staged(kept.mapInArrow(run, "family string, source string, piece bigint, n_records bigint, body binary"), "frames")
     manifest = _write_parts(frames, out, ".zst", b"", target)
     return manifest, out
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import prefix_sum_by_unit
+from tidemark.operators.ranking import prefix_sum_by_unit, rank_by_unit
 from tidemark.runtime import hash_unit
 
 
@@ -118,13 +118,16 @@ def quantile_labels(scores: DataFrame, score: str, buckets: int, key: str, out:
     """Label of each row: the number of the first cut point not below its score.
 
     Cut point l is the score at sorted place ``(l + 1) * n / buckets`` (from 0),
-    the last the largest score. The cuts come from exact places of the sorted
-    scores; rows are then labelled by comparing with ``buckets`` values.
+    the last the largest score. Places are exact and come from counts per slice
+    of the scores' range; rows are then labelled by comparing with ``buckets``
+    values.
     """
     n = scores.count()
-    places = [min((l + 1) * n // buckets, n - 1) for l in range(buckets)]
-    places[-1] = n - 1
-    # Places by exact order statistics: percentile with linear interpolation at whole places.
-    cuts = scores.agg(F.percentile(score, F.array(*[F.lit(p / max(n - 1, 1)) for p in places])).alias("__cuts"))
-    low = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.when(F.get("__cuts", i) >= F.col(score) - 1e-12, i)), lambda v: v.isNotNull()))
+    places = sorted({*(min((l + 1) * n // buckets, n - 1) for l in range(buckets - 1)), n - 1} if n else [])
+    ranked = rank_by_unit(_ranged(scores, score).withColumn("__all", F.lit(0)), ["__all"], "__u", key, "__rank")
+    at = ranked.where((F.col("__rank") - 1).isin(places)).select("__rank", F.col(score).alias("__v"))  # as many rows as buckets
+    per = [min((l + 1) * n // buckets, n - 1) if l < buckets - 1 else n - 1 for l in range(buckets)] if n else []
+    found = at.agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"))
+    cuts = found.select(F.array(*[F.try_element_at("__m", F.lit(p + 1).cast("bigint")) for p in per]).alias("__cuts")) if per else found.select(F.array(F.lit(0.0)).alias("__cuts"))
+    low = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.when(F.get("__cuts", i) >= F.col(score), i)), lambda v: v.isNotNull()))
     return scores.crossJoin(F.broadcast(cuts)).withColumn(out, F.coalesce(low, F.lit(buckets - 1)).cast("int")).drop("__cuts")
