@@ -404,10 +404,10 @@ def garbled_documents(documents: DataFrame, rounds: int = 3) -> DataFrame:
     def run(batches):
         cache: dict = {}
         for b in batches:
-            if len(cache) > 200_000:
-                cache.clear()
             ids, swaps, texts = [], [], []
             for doc, source, text in zip(*[c.to_pylist() for c in b.columns]):
+                if len(cache) > 100_000:
+                    cache.clear()
                 if (got := restore(text, source or "", model, cache)) is not None:
                     ids.append(doc)
                     swaps.append(got[0])
