@@ -16,7 +16,7 @@ class PrunedGraph:
     whole blocks of points as arrays.
     """
 
-    def __init__(self, x: np.ndarray, degree: int = 16, slack: int = 16, beam: int = 32, alpha: float = 1.05, block: int = 1024, entries: int = 512, seed: int = 5):
+    def __init__(self, x: np.ndarray, degree: int = 16, slack: int = 16, beam: int = 32, alpha: float = 1.05, block: int = 1024, entries: int = 768, seed: int = 5):
         self.x = x
         self.n = len(x)
         self.degree, self.width, self.alpha2 = degree, degree + slack, np.float32(alpha * alpha)
@@ -115,7 +115,7 @@ class PrunedGraph:
         best = np.full((b, beam), -1, np.int32)
         score = np.full((b, beam), -np.inf, np.float32)
         done = np.ones((b, beam), bool)
-        m = min(8, len(self.entries), beam)
+        m = min(12, len(self.entries), beam)
         dots = q @ self.x[self.entries].T
         top = np.argpartition(-dots, m - 1, axis=1)[:, :m]
         lines = np.arange(b)[:, None]

@@ -14,7 +14,7 @@ from tidemark.llm.vectors import from_binary
 SHARD_ROWS = 8192
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, shard_rows: int = SHARD_ROWS, query_beam: int = 96, degree: int = 16, beam: int = 32, alpha: float = 1.05) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, shard_rows: int = SHARD_ROWS, query_beam: int = 160, degree: int = 20, beam: int = 40, alpha: float = 1.05) -> DataFrame:
     """``query_id, id, similarity, place``: each query's k most similar other vectors.
 
     ``vectors(id, vec)`` and ``queries(query_id, vec, k)`` hold packed unit
