@@ -6,7 +6,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 DATA = "/root/testdata/sf0.001"
 
@@ -32,7 +32,3 @@ def data():
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
     return DATA
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

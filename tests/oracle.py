@@ -24,6 +24,10 @@ def text(v):
     return str(v)
 
 
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
 def same(df, con, sql):
     cols = sorted(df.columns)
     got = sorted(tuple(text(r[c]) for c in cols) for r in df.collect())

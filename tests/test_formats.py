@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
-from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import rows
 
 from tidemark.operators.consolidate import BrokenData, concatenate_files, consolidate_records, distinct_stored, joinable, read_consolidated, verify_parts
 from tidemark.sources import formats as Fm

@@ -1,7 +1,7 @@
 """Logs of increments, clocks, priorities, table groups."""
 
 import pytest
-from conftest import rows
+from oracle import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import clocks as C
