@@ -109,6 +109,34 @@ def test_overlap_is_brute_force(spark):
     assert {(r.split, r.source): (r.pairs, r.records, r.train_records) for r in counts}["val", "f"] == (12, 3, 4)
 
 
+def test_overlap_keeps_large_and_uniform_changes(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], set()
+    for k in range(240):
+        shape = [(3, 8, 8), (1, 12, 12), (1, 16, 16), (6, 5, 7)][k % 4]
+        a = smooth(rng, *shape)
+        if k % 5 == 4:
+            a = (120 + a.astype(int) % 2).astype(np.uint8)
+        b = a.astype(int)
+        if k % 5 == 0:  # one column of pixels moves, as far as the average allows
+            b[..., k % shape[2]] += 3 * shape[2]
+        elif k % 5 == 1:
+            b[0, :, k % shape[2]] = 255 - b[0, :, k % shape[2]]
+        elif k % 5 == 2:  # a few bytes turn black or white
+            at = rng.permutation(b.size)[: b.size // 45]
+            b.ravel()[at] = rng.choice([0, 255], len(at))
+        elif k % 5 == 3:
+            b[:, k % shape[1]] -= 3 * shape[1]
+        else:
+            b += 3
+        b = np.clip(b, 0, 255)
+        if np.abs(a - b).mean() <= 3:
+            want.add((2 * k, 2 * k + 1))
+        rows += [(2 * k, "train", "s", *shape, a.tobytes()), (2 * k + 1, "val", "s", *shape, (b[..., ::-1] if k % 3 else b).astype(np.uint8).tobytes())]
+    got = {(r.train_id, r.other_id) for r in overlap.split_overlap(images(spark, rows)).collect()}
+    assert len(want) > 120 and not want - got
+
+
 def test_no_overlap(spark):
     assert overlap.split_overlap(images(spark, [])).count() == 0
     assert overlap.split_overlap(images(spark, [(1, "train", "s", 1, 1, 1, b"a"), (2, "train", "s", 1, 1, 1, b"a")])).count() == 0

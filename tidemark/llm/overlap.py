@@ -2,51 +2,59 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.runtime import norm_split, staged
 
-BANDS, GROUPS, FINE_BANDS = 4, 4, 8
-SEGMENTS = tuple(itertools.combinations(range(BANDS), 2))
-STEP, EXTRA = 24.0, 0.5
-LEVELS = tuple(range(36, 213, 16))
-WORDS = FINE_BANDS * GROUPS * len(LEVELS) // 64
+FINE_BANDS, FINE_GROUPS = 8, 4
+STEP, SCALE, MOST_SEGMENTS = 8, 256, 4
+#: Signs of four bands of rows and of two groups of columns, the inner and the outer half.
+PATTERNS = tuple((np.array(r), np.array(g)) for r, g in (([1, 1, 1, 1], [1, 1]), ([1, 1, -1, -1], [1, 1]), ([1, -1, -1, 1], [1, 1]), ([1, 1, 1, 1], [1, -1]), ([1, 1, -1, -1], [1, -1]), ([1, -1, 1, -1], [1, 1])))
+CELLS = FINE_BANDS * FINE_GROUPS
+WORDS = CELLS // 4
+
 
+def _folded(h: int, w: int, bands: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band of each row, and group of each column: columns equally far from an edge share one."""
+    return np.arange(h) * bands // h, np.minimum(np.arange(w), np.arange(w)[::-1]) * groups // ((w + 1) // 2)
 
-def cells(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell means of images [n, c, h, w] that mirroring left to right leaves alone.
 
-    Bands of rows by groups of columns equally far from an edge, over all
-    channels: four bands for the codes [n, 4, 4], eight for the fingerprint
-    [n, 32]. Where an image has too few rows or columns, a cell is empty and 0.
+def cell_sums(images: np.ndarray) -> np.ndarray:
+    """Sums [n, 32] of images [n, c, h, w] in cells that mirroring left to right leaves alone.
+
+    Eight bands of rows by four groups of columns, over all channels, in 1/256
+    of the image's number of bytes, rounded down. The absolute differences of
+    two images' bytes sum up to no less than those of their cells; see
+    :func:`cell_limit` for the rounding. Cells without rows or columns are 0.
     """
-    n, _, h, w = images.shape
-    folded = images.mean(axis=1, dtype=np.float64)
-    folded = (folded + folded[:, :, ::-1]) / 2
-    group = np.minimum(np.arange(w), np.arange(w)[::-1]) * GROUPS // ((w + 1) // 2)
+    n, c, h, w = images.shape
+    band, group = _folded(h, w, FINE_BANDS, FINE_GROUPS)
+    cell = (band[:, None] * FINE_GROUPS + group).ravel()
+    sums = images.sum(axis=1, dtype=np.int64).reshape(n, -1)
+    out = np.stack([sums[:, cell == k].sum(axis=1) for k in range(CELLS)], axis=1)
+    return out * SCALE // (c * h * w)
 
-    def means(bands: int) -> np.ndarray:
-        band = np.arange(h) * bands // h
-        rows = np.stack([folded[:, band == b].mean(axis=1) if (band == b).any() else np.zeros((n, w)) for b in range(bands)], axis=1)
-        return np.stack([rows[:, :, group == g].mean(axis=2) if (group == g).any() else np.zeros((n, bands)) for g in range(GROUPS)], axis=2)
 
-    return means(BANDS), means(FINE_BANDS).reshape(n, -1)
+def cell_limit(most: float) -> int:
+    """The largest sum of differences of :func:`cell_sums` at an average difference of ``most``: rounding adds less than 1 a cell."""
+    return int(np.ceil(most * SCALE)) + CELLS
 
 
-def fingerprints(features: np.ndarray) -> np.ndarray:
-    """Bits [n, WORDS] (64 each) of the fine cell means: one bit per level a mean lies above.
+def packed_cells(sums: np.ndarray) -> np.ndarray:
+    """The cells of each row, four of 16 bits in a word [n, WORDS]."""
+    return np.ascontiguousarray(sums.astype(">u2")).view(">i8").astype(np.int64)
 
-    The Hamming distance of two fingerprints follows the sum of differences of
-    their cell means, one bit for 16 grey levels.
-    """
-    bits = features[:, :, None] > np.array(LEVELS)
-    packed = np.packbits(bits.reshape(len(features), -1), axis=1)
-    return packed.view(">i8").astype(np.int64)
+
+def _cells_apart() -> Column:
+    """Sum of the absolute differences of the cells of a row and of one of the other side."""
+
+    def cell(name: str, k: int) -> Column:
+        return F.shiftrightunsigned(F.col(name), 16 * k).bitwiseAND(F.lit(0xFFFF))
+
+    return sum((F.abs(cell(f"cells{i}", k) - cell(f"cells{i}_t", k)) for i in range(WORDS) for k in range(4)), F.lit(0))
 
 
 def _mix(parts: list[np.ndarray]) -> np.ndarray:
@@ -57,27 +65,35 @@ def _mix(parts: list[np.ndarray]) -> np.ndarray:
     return h.view(np.int64)
 
 
-def segment_codes(features: np.ndarray, shape: tuple[int, int, int], slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and code of each segment of each image.
+def segment_codes(images: np.ndarray, most: float, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and code of each segment of each image [n, c, h, w].
 
-    A segment is two of the four bands, so eight cell means, each rounded down
-    to steps. With ``slack`` every code that means within ``slack`` of these
-    could have comes out, without it only the own one. Two images whose means
-    in some two bands differ by no more than ``slack`` share a code of one's
-    wide and the other's own.
+    A segment is a channel (of more than four channels, one of four runs of
+    them). If two images differ by an average of at most ``most``, they do so in
+    some segment, and then no sum of the segment's bytes under signs differs by
+    more than ``most`` times its bytes. The code has six such sums, under
+    signs that mirroring leaves alone, each rounded down to steps. ``wide``
+    gives every code that sums within that bound could have, else only the own
+    one comes out; so two such images always share a code of one's wide and the
+    other's own. All is in whole numbers.
     """
-    low, high = np.floor((features - slack) / STEP), np.floor((features + slack) / STEP)
+    n, c, h, w = images.shape
+    band, group = _folded(h, w, 4, 2)
+    segments = min(c, MOST_SEGMENTS)
+    segment = np.arange(c) * segments // c
     rows, codes = [], []
-    for s, bands in enumerate(SEGMENTS):
-        row = np.arange(len(features))
-        code = _mix([np.full(len(row), v) for v in (*shape, s)])
-        for b in bands:
-            for g in range(GROUPS):
-                lo, hi = low[row, b, g], high[row, b, g]
-                both = np.flatnonzero(hi > lo)
-                at = np.concatenate([lo, hi[both]])
-                row, code = np.concatenate([row, row[both]]), np.concatenate([code, code[both]])
-                code = _mix([code, at])
+    for s in range(segments):
+        size = int((segment == s).sum()) * h * w
+        pixels = images[:, segment == s].sum(axis=1, dtype=np.int64)
+        slack, step = int(np.floor(most * size)) if wide else 0, STEP * size
+        row = np.arange(n)
+        code = _mix([np.full(n, v) for v in (c, h, w, s)])
+        for by_band, by_group in PATTERNS:
+            total = (pixels * (by_band[band][:, None] * by_group[group])).sum(axis=(1, 2))
+            low, high = ((total - slack) // step)[row], ((total + slack) // step)[row]
+            count = high - low + 1
+            at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            row, code = np.repeat(row, count), _mix([np.repeat(code, count), at])
         rows.append(row)
         codes.append(code)
     return np.concatenate(rows), np.concatenate(codes)
@@ -96,18 +112,18 @@ def _pixels(column: pa.Array, rows: np.ndarray, shape: tuple[int, int, int]) ->
     return np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), *shape)
 
 
-def _coded(contents: DataFrame, slack: float) -> DataFrame:
-    words = [f"bits{i}" for i in range(WORDS)]
+def _coded(contents: DataFrame, most: float, wide: bool) -> DataFrame:
+    words = [f"cells{i}" for i in range(WORDS)]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 for shape, rows in _by_shape(part, 1):
-                    coarse, fine = cells(_pixels(part.column(4), rows, shape))
-                    prints = fingerprints(fine)
-                    row, code = segment_codes(coarse, shape, slack)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[row])), pa.array(code), *[pa.array(prints[row, i]) for i in range(WORDS)]], ["cid", "code", *words])
+                    images = _pixels(part.column(4), rows, shape)
+                    cells = packed_cells(cell_sums(images))
+                    row, code = segment_codes(images, most, wide)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[row])), pa.array(code), *[pa.array(cells[row, i]) for i in range(WORDS)]], ["cid", "code", *words])
 
     return contents.select("cid", "channels", "height", "width", "data").mapInArrow(run, "cid bigint, code bigint, " + ", ".join(f"{w} bigint" for w in words))
 
@@ -131,7 +147,7 @@ def _close(pairs: DataFrame, most: float) -> DataFrame:
     return pairs.select("a", "b", "channels", "height", "width", "data_a", "data_b").mapInArrow(run, "a string, b string")
 
 
-def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 14) -> DataFrame:
+def split_overlap(datum: DataFrame, most: float = 3.0) -> DataFrame:
     """Pairs of a train record and a val or test record with nearly equal images.
 
     Returns ``train_id, other_id, split, source`` (split and source of the
@@ -140,15 +156,12 @@ def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 14) -> Data
     the byte values of at most ``most``, straight or mirrored left to right.
 
     Equal images are one content, however many copies there are. Contents of
-    the two sides meet where they share a code of one of six segments
-    (:func:`segment_codes`; the evaluation side looks into every code within
-    ``most`` and a half level), and their fingerprints differ in at most
-    ``radius`` of 384 bits, tested inside the join. What remains is compared
-    byte by byte. Codes and fingerprint ignore mirroring, so one search does
-    for both. A pair is missed only if in three of four bands of rows some cell
-    mean is off by more than that, which an average of ``most`` allows for a
-    few large changes spread over three bands. Hot codes are split by the
-    adaptive join.
+    the two sides meet where they share a code of a segment
+    (:func:`segment_codes`) and their cells differ by no more than ``most``
+    allows (:func:`cell_sums`), tested inside the join. What remains is
+    compared byte by byte. Both tests follow from the bound on the average, so
+    no pair is lost. Codes and cells ignore mirroring, so one search does for
+    both. Hot codes are split by the adaptive join.
 
     Records without a full shape, with null or empty data or data of another
     length, and with a null or other split take no part; null sources stay
@@ -164,11 +177,10 @@ def split_overlap(datum: DataFrame, most: float = 3.0, radius: int = 14) -> Data
     key = F.md5(F.concat_ws("x", *shape, "content"))
     # Codes travel with a 64-bit hash of the content; contents that should share one are told apart by the comparison.
     contents = contents.withColumn("content", key).withColumn("cid", F.xxhash64("content"))
-    left = _coded(contents.where("in_other"), most + EXTRA)
-    right = _coded(contents.where("in_train"), 0.0)
+    left = _coded(contents.where("in_other"), most, True)
+    right = _coded(contents.where("in_train"), most, False)
     right = right.select(*[F.col(c).alias(f"{c}_t") for c in right.columns])
-    apart = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"bits{i}_t"))) for i in range(WORDS)), F.lit(0))
-    met = left.join(right, (F.col("code") == F.col("code_t")) & (F.col("cid") != F.col("cid_t")) & (apart <= radius))
+    met = left.join(right, (F.col("code") == F.col("code_t")) & (F.col("cid") != F.col("cid_t")) & (_cells_apart() <= cell_limit(most)))
     pairs = staged(met.select("cid", "cid_t").distinct(), "p2-candidates")
     side_a = contents.where("in_other").select("cid", F.col("content").alias("a"), *shape, F.col("data").alias("data_a"))
     side_b = contents.where("in_train").select(F.col("cid").alias("cid_t"), F.col("content").alias("b"), *[F.col(c).alias(f"{c}_t") for c in shape], F.col("data").alias("data_b"))
