@@ -110,6 +110,17 @@ def test_equal_vectors_are_one_group(spark, node_rows):
     assert len({got[i] for i in range(200)}) == 1 and got[500] != got[0] and len(got) == 201
 
 
+def test_pairs_meet_at_every_size(spark):
+    rng = np.random.default_rng(9)
+    one = unit(rng.normal(size=(1200, 64)))
+    off = rng.normal(size=(1200, 64))
+    off = unit(off - (off * one).sum(axis=1, keepdims=True) * one)
+    x = np.concatenate([one, 0.8 * one + 0.6 * off])
+    df = datum(spark, [(i, "train", 0, v) for i, v in enumerate(x)])
+    got = {r.id: r.group for r in clusters.similarity_groups(unit_vectors(df), node_rows=60, sample_rows=600).collect()}
+    assert all(got[i] == got[1200 + i] for i in range(1200)) and len(set(got.values())) == 1200
+
+
 def test_no_vectors(spark):
     assert clusters.similarity_groups(unit_vectors(datum(spark, []))).count() == 0
 

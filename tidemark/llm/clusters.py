@@ -276,13 +276,14 @@ def _route(vectors: DataFrame, tree: SplitTree, centres: np.ndarray, pivots: np.
     return vectors.select("id", "vec").mapInArrow(run, "id bigint, vec binary, node bigint, leaf bigint, dot float, centre binary")
 
 
-def _links_of_group(group: pa.Table, near: float, link: float) -> pa.Table:
-    """Links between leaves of one node: (leaf, root) of sure ones, pairs still to be checked by members."""
-    keys = group.column("leaf").to_numpy()
-    o = np.argsort(keys)
-    keys = keys[o]
+def _links_of_blocks(group: pa.Table, near: float, link: float) -> pa.Table:
+    """Links between leaves of two blocks, or within one: (leaf, root) of sure ones, pairs still to be checked by members."""
+    keys, second = group.column("leaf").to_numpy(), group.column("second").to_numpy(zero_copy_only=False)
+    o = np.lexsort((keys, second))
+    keys, second = keys[o], second[o]
     c, p = from_binary(group.column("centre"))[o], from_binary(group.column("pivot"))[o]
     n = len(keys)
+    first = int((~second).sum())  # of the rows of one block, the rest are the other's; all are if there is only one
     root = np.arange(n)
 
     def find(a: int) -> int:
@@ -292,17 +293,19 @@ def _links_of_group(group: pa.Table, near: float, link: float) -> pa.Table:
         return a
 
     open_a, open_b = [], []
-    for s in range(0, n, 512):
-        dots = c[s : s + 512] @ c[s:].T
-        i, j = np.nonzero(dots >= near)
-        i, j = i[i < j] + s, j[i < j] + s
-        sure = np.einsum("ij,ij->i", p[i], p[j]) >= link
-        for a, b in zip(i[sure].tolist(), j[sure].tolist()):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                root[max(ra, rb)] = min(ra, rb)
-        open_a.append(i[~sure])
-        open_b.append(j[~sure])
+    for s in range(0, first, 512):
+        end = min(s + 512, first)
+        for t in range(s if first == n else first, n, 16_384):
+            i, j = np.nonzero(c[s:end] @ c[t : t + 16_384].T >= near)
+            i, j = i + s, j + t
+            i, j = i[i < j], j[i < j]
+            sure = np.einsum("ij,ij->i", p[i], p[j]) >= link
+            for a, b in zip(i[sure].tolist(), j[sure].tolist()):
+                ra, rb = find(a), find(b)
+                if ra != rb:
+                    root[max(ra, rb)] = min(ra, rb)
+            open_a.append(i[~sure])
+            open_b.append(j[~sure])
     roots = np.array([find(a) for a in range(n)])
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (open_a, open_b))
     apart = roots[a] != roots[b]
@@ -311,33 +314,20 @@ def _links_of_group(group: pa.Table, near: float, link: float) -> pa.Table:
     return pa.table({"a": np.concatenate([keys[moved], keys[a]]), "b": np.concatenate([keys[roots[moved]], keys[b]]), "sure": np.concatenate([np.ones(len(moved), bool), np.zeros(len(a), bool)])})
 
 
-def _leaf_links(leaves: DataFrame, members: DataFrame, vectors: DataFrame, near: float, link: float, node_rows: int, sample_rows: int, seed: int) -> DataFrame:
+def _leaf_links(leaves: DataFrame, members: DataFrame, vectors: DataFrame, near: float, link: float, node_rows: int) -> DataFrame:
     """Links ``(a, b)`` between leaves of one group that a split has cut apart.
 
-    Leaves whose centres are ``near`` are candidates. They meet in nodes of a
-    tree over the centres alone; with more than one node this is repeated with
-    other trees, so that a pair one tree parts meets in another. A candidate is
+    Leaves whose centres are ``near`` are candidates. All centres are compared:
+    they lie in blocks of about ``node_rows``, and each pair of blocks meets in
+    one task, so the work grows with the square of the leaves. A candidate is
     a link if the pivots are linked, or a member of either with the other's
     pivot.
     """
-    total = leaves.count()
-    pairs = None
-    for round_ in range(1 if total <= node_rows else 3):
-        if total <= node_rows:
-            noded = leaves.withColumn("node", F.lit(0))
-        else:
-            rate = min(1.0, 1.1 * sample_rows / total)
-            picked = leaves.where(F.expr(f"pmod(xxhash64(leaf, {seed + 91 + round_}), 1000003) < {rate} * 1000003")).select("centre").limit(2 * sample_rows)
-            sample = from_binary(picked.toArrow().column("centre"))
-            tree = SplitTree(sample, max(48, int(len(sample) * 0.6 * node_rows / total)), 2.0, seed + 91 + round_)
-
-            def run(batches, tree=tree):
-                for b in batches:
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.route(from_binary(b.column(1))), pa.int64())], ["leaf", "centre", "pivot", "node"])
-
-            noded = leaves.select("leaf", "centre", "pivot").mapInArrow(run, "leaf bigint, centre binary, pivot binary, node bigint")
-        found = noded.groupBy("node").applyInArrow(lambda g: _links_of_group(g, near, link), "a bigint, b bigint, sure boolean")
-        pairs = found if pairs is None else pairs.unionByName(found)
+    blocks = max(1, -(-leaves.count() // node_rows))
+    mine = F.pmod(F.xxhash64("leaf"), F.lit(blocks)).cast("int")
+    placed = leaves.select("leaf", "centre", "pivot", mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    paired = placed.select("leaf", "centre", "pivot", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
+    pairs = paired.groupBy("x", "y").applyInArrow(lambda g: _links_of_blocks(g, near, link), "a bigint, b bigint, sure boolean")
     pairs = staged(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "p6-pairs")
     unsure = pairs.where("not sure")
     both = unsure.select("a", "b").unionByName(unsure.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -377,7 +367,7 @@ def similarity_groups(vectors: DataFrame, link: float = 0.78, compact: float = 0
         members = members.unionByName(p)
     members = staged(members, "p6-members")
     leaves = members.where("id = leaf").select("leaf", "centre", "pivot")
-    links = _leaf_links(leaves, members, v, near, link, node_rows, sample_rows, seed)
+    links = _leaf_links(leaves, members, v, near, link, node_rows)
     roots = connected_components(links, "a", "b").select(F.col("node").alias("leaf"), F.col("component"))
     return members.select("id", "leaf", "dot").join(roots, "leaf", "left").select("id", "leaf", "dot", F.coalesce("component", "leaf").alias("group"))
 
