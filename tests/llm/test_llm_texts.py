@@ -127,6 +127,18 @@ def test_no_texts(spark):
     assert garbled.garbled_documents(docs(spark, [("plain", "a"), (None, None)])).count() == 0
 
 
+def test_pages_that_agree_are_all_credited():
+    lines = ["Bütün öğeler için düğümü günceller", "Şu köprü üçüncü gün açık değil", "Çözüm bulunduğunda ölçüm süresi kısalır", "Küçük kutu gözden düşürülürse yeniden ölçülür"]
+    counts: dict = {}
+    for line in lines * 4:
+        for lo, hi, *_ in garbled.stretches(line):
+            for p in garbled.pairs_of(line[lo:hi]):
+                counts[p] = counts.get(p, 0.0) + 1.0
+    model = garbled.SwapModel(counts, {("a", garbled.SOUND): 300.0})
+    for read in ("cp850", "koi8_r"):
+        assert garbled.restore(wrong(" ".join(lines), "cp1254", read), "a", model, {}) == (f"cp1254<{read}", " ".join(lines))
+
+
 def test_swap_tables_undo_each_other():
     for line in RUSSIAN:
         spoilt = wrong(line, "koi8_r", "cp1251")

@@ -66,12 +66,17 @@ def _proper(s: str) -> bool:
 
 
 def readings(s: str, depth: int = 3) -> list[tuple[str, str]]:
-    """What a stretch may have been: (swap, proper reading).
+    """What a stretch may have been: (swap, proper reading), each reading once.
 
     A swap is named ``written<read_as``; several in a row, as of a text spoilt
     more than once, are joined by a blank.
     """
-    out: dict[str, str] = {}
+    return [(names[0], r) for r, names in swaps_by_reading(s, depth).items()]
+
+
+def swaps_by_reading(s: str, depth: int = 3) -> dict[str, list[str]]:
+    """The proper readings of a stretch, each with all swaps that give it."""
+    out: dict[str, list[str]] = defaultdict(list)
     seen = {s}
     todo = [("", s, 0)]
     while todo:
@@ -93,7 +98,7 @@ def readings(s: str, depth: int = 3) -> list[tuple[str, str]]:
                 seen.add(got)
                 full = f"{name} {how}".strip()
                 if _proper(got):
-                    out.setdefault(got, full)
+                    out[got].append(full)
                 if level + 1 < depth and not got.isascii():
                     todo.append((full, got, level + 1))
             if level or page in READ_AS_WIDE:
@@ -107,13 +112,13 @@ def readings(s: str, depth: int = 3) -> list[tuple[str, str]]:
                             continue
                         got = raw[: e.start].decode(wide) + raw[e.start :].decode("latin-1")
                     if got != s and _proper(got):
-                        out.setdefault(got, f"{wide}<{page}")
+                        out[got].append(f"{wide}<{page}")
             for narrow in WRITTEN_NARROW:
                 if narrow != page:
                     got = s.translate(swap_table(page, narrow))
                     if got != s and _proper(got):
-                        out.setdefault(got, f"{narrow}<{page}")
-    return [(h, r) for r, h in out.items()]
+                        out[got].append(f"{narrow}<{page}")
+    return out
 
 
 def stretches(text: str) -> list[tuple[int, int, int, int]]:
@@ -327,6 +332,14 @@ def _changes(s: str, swap: str) -> bool:
     return written not in WRITTEN_NARROW or read_as not in READ_AS or s.translate(swap_table(read_as, written)) != s
 
 
+def _weighed(s: str, source: str, model: SwapModel) -> tuple[list[tuple[float, str, str]], dict[str, tuple[float, str]]]:
+    """The best readings of a stretch, and by swap the log odds of its reading, without the swap's share, and the reading."""
+    names = swaps_by_reading(s) if LOST not in s else {}
+    gains = model.gains(source, s, [(hs[0], r) for r, hs in names.items()])
+    known = {h: (g - model.weight(source, k), r) for g, k, r in gains for h in names[r]}
+    return [g for g in gains if g[0] > -20][:6], known
+
+
 def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: float = 1.0, least_swap: float = 12.0) -> tuple[str, str] | None:
     """The swap by which a text was garbled, and the text with the garbled stretches restored; None if it is sound.
 
@@ -343,9 +356,9 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
     for lo, hi, a, b in stretches(text):
         s = text[lo:hi]
         key = (source, s)
-        gains = cache.get(key)
-        if gains is None:
-            gains = cache[key] = [g for g in model.gains(source, s, readings(s) if LOST not in s else []) if g[0] > -20][:6]
+        if key not in cache:
+            cache[key] = _weighed(s, source, model)
+        gains, known = cache[key]
         if not gains:
             if s not in seen:
                 seen.add(s)
@@ -358,29 +371,30 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
         core = best[a - lo : len(best) - (hi - b)] if hi - b else best[a - lo :]
         if core and core in around:
             continue
-        hits.append((lo, hi, gains))
+        hits.append((lo, hi, gains, known))
         if gains[0][0] > 0 and gains[0][1].startswith("utf_8"):
             evidence[gains[0][1]] += gains[0][0]
         if s not in seen:  # a repeated stretch is no further evidence
             seen.add(s)
-            for h in {h for _, h, _ in gains if not h.startswith("utf_8")} | swaps:
-                odds = next((g - model.weight(source, h) for g, k, _ in gains if k == h), -AGAINST * _changes(s, h))
+            best_texts = {r for _, _, r in gains}
+            for h in {h for h, (g, r) in known.items() if not h.startswith("utf_8") and (g >= CLEAR or r in best_texts)} | swaps:
+                odds = known[h][0] if h in known else -AGAINST * _changes(s, h)
                 swaps.add(h)
                 evidence[h] += odds if odds >= CLEAR else max(min(odds, 0.0), -AGAINST)
-    cause = max(evidence, key=lambda h: (evidence[h], h), default=None)
+    cause = max(evidence, key=lambda h: (evidence[h], model.weight(source, h), h), default=None)
     if cause is not None and evidence[cause] < (least_utf8 if cause.startswith("utf_8") else least_swap):
         cause = None
     if cause is None:
         return ("lost", text) if LOST in text and _lost_in(text) else None
-    # Once a text is known to have gone through a swap, its share is no reason against it any more.
-    odds = model.weight(source, cause)
     out, end = [], 0
-    for lo, hi, gains in hits:
-        reading = next((r for g, h, r in gains if h == cause and g - odds > 0), None)
-        if reading is None:
-            if gains[0][0] <= 0:
-                continue
+    for lo, hi, gains, known in hits:
+        # Once a text is known to have gone through a swap, its share is no reason against it any more.
+        if cause in known and known[cause][0] > 0:
+            reading = known[cause][1]
+        elif gains[0][0] > 0:
             reading = gains[0][2]
+        else:
+            continue
         out += [text[end:lo], reading]
         end = hi
     return cause, "".join([*out, text[end:]])
@@ -406,7 +420,7 @@ def garbled_documents(documents: DataFrame, rounds: int = 3) -> DataFrame:
         for b in batches:
             ids, swaps, texts = [], [], []
             for doc, source, text in zip(*[c.to_pylist() for c in b.columns]):
-                if len(cache) > 100_000:
+                if len(cache) > 10_000:
                     cache.clear()
                 if (got := restore(text, source or "", model, cache)) is not None:
                     ids.append(doc)
