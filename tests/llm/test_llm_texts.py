@@ -139,6 +139,13 @@ def test_pages_that_agree_are_all_credited():
         assert garbled.restore(wrong(" ".join(lines), "cp1254", read), "a", model, {}) == (f"cp1254<{read}", " ".join(lines))
 
 
+def test_text_that_lost_every_letter():
+    for text in ("// \ufffd\ufffd\ufffd\ufffd \ufffd\ufffd\n", "x = 1  # \ufffd \ufffd\ufffd\ufffd.\n", "\ufffd\ufffd\ufffd"):
+        assert garbled._lost_in(text), text
+    for text in ('X = "\ufffd\ufffd"\n', "X = ['\ufffd\ufffd', `\ufffd \ufffd`]\n", "(\ufffd\ufffd)", "# shown: \ufffd\n"):
+        assert not garbled._lost_in(text), text
+
+
 def test_swap_tables_undo_each_other():
     for line in RUSSIAN:
         spoilt = wrong(line, "koi8_r", "cp1251")

@@ -21,6 +21,7 @@ READ_AS_WIDE = ("gbk", "cp932", "big5", "euc_kr")
 WRITTEN_NARROW = ("cp1252", "cp1251", "cp1250", "cp1253", "cp1254", "cp850", "cp437", "cp866", "mac_roman", "koi8_r", "iso8859_2")
 WRITTEN_WIDE = ("gb18030", "euc_jp", "cp932", "big5", "euc_kr")
 LOST = "�"
+OPENING, CLOSING = "([{<«“‘„", ")]}>»”’“"
 BAD = "￿"
 
 CORE = re.compile(r"[^\x00-\x7f](?:[\x20-\x7e]{0,2}[^\x00-\x7f])*")
@@ -306,10 +307,20 @@ def learn_swaps(documents: DataFrame, rounds: int = 3) -> SwapModel:
     return model
 
 
+def _quoted(text: str, lo: int, hi: int) -> bool:
+    """Whether a part of a line stands between quotes."""
+    before = text[text.rfind("\n", 0, lo) + 1 : lo]
+    end = text.find("\n", hi)
+    after = text[hi : end if end >= 0 else len(text)]
+    return any(before.count(q) % 2 and q in after for q in "\"'`") or (before[-1:] in OPENING and before != "" and after[:1] in CLOSING and after != "")
+
+
 def _lost_in(text: str) -> bool:
     """Whether U+FFFD stands where a word or a sign between two words was lost.
 
-    Alone between quotes, brackets or at a line's end, it is meant.
+    Beside a letter or digit, or alone between two words; also several in a
+    row, or parted by single blanks, outside quotes and brackets, as of text
+    that lost every letter. Else, alone at a line's end too, it is meant.
     """
     n = len(text)
     at = text.find(LOST)
@@ -322,6 +333,8 @@ def _lost_in(text: str) -> bool:
             return True
         if before == " " and after == " " and text[at - 2 : at - 1].isalnum() and text[end + 1 : end + 2].isalnum():
             return True
+        if (end - at > 1 or text[end : end + 2] == " " + LOST) and not _quoted(text, at, end):
+            return True
         at = text.find(LOST, end)
     return False
 
