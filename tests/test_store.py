@@ -1,5 +1,7 @@
 """Logs of increments, clocks, priorities, table groups."""
 
+import os
+
 import pytest
 from oracle import rows
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from tidemark.operators import clocks as C
 from tidemark.operators import deltas as D
 from tidemark.operators import priority as P
 from tidemark.operators.tables import TableGroup
+from tidemark.plans.common import EVENT_TYPES
+from tidemark.plans.streams import stream_window_counts
 
 
 def log(spark, cells):
@@ -97,6 +101,18 @@ def test_table_group(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "text")).collect()] == ["0 0.0 5.0 0.0"]
 
 
+def test_windows_of_files_out_of_order(spark, tmp_path):
+    for k in range(20):  # the newest day comes first, two triggers of files before the oldest
+        day = f"2024-03-{28 - k:02d} 12:00:00"
+        one = spark.createDataFrame([(k, EVENT_TYPES[0], 1.0, day)], "user_id bigint, event_type string, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        for f in (tmp_path / "events.parquet").glob("part-*.parquet"):
+            if f.stat().st_mtime > 1_600_000_000:
+                os.utime(f, (1_500_000_000 + k, 1_500_000_000 + k))
+    got = {r.day: r.n for r in stream_window_counts(spark, str(tmp_path)).collect()}
+    assert got == {f"2024-03-{28 - k:02d}": 1 for k in range(20)}
+
+
 def test_components(spark):
     from tidemark.operators.components import connected_components
 

@@ -29,7 +29,7 @@ def stream_clock_push(spark, root):
 
 def stream_window_counts(spark, root):
     e = _events(spark, root).withColumn("at", F.col("ts").cast("timestamp"))
-    out = S.drain(S.window_stream(e, "at", "1 day", "2 days"), ["start"])
+    out = S.drain(S.window_stream(e, "at", "1 day"), ["start"])
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
