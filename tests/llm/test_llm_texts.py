@@ -1,7 +1,9 @@
 """Token ids and garbled texts."""
 
 import base64
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,6 +44,57 @@ def test_hard_texts(encoder, reference):
     assert ids_of(encoder, HARD) == [reference(t) for t in HARD]
 
 
+def test_texts_with_equal_polynomial_hashes(encoder, reference):
+    texts = []
+    for size in (10, 11, 12, 13):
+        word = "a"
+        for _ in range(size):
+            word += word.translate({97: 98, 98: 97})
+        texts += [word, word.translate({97: 98, 98: 97})]
+    assert ids_of(encoder, texts) == [reference(t) for t in texts]
+
+
+def test_pretokens_of_one_key_are_told_apart(reference):
+    e = bpe.ColumnEncoder(bpe.vocabulary_path())
+    e.factors = np.array([0, 0, 1], np.uint64) | np.uint64(0)  # every pre-token gets the same key
+    texts = ["one two three", "two one", "three", "", "one"]
+    assert ids_of(e, texts) == [reference(t) for t in texts]
+
+
+def plain_bpe(ranks, b):
+    pieces = [b[i : i + 1] for i in range(len(b))]
+    while len(pieces) > 1:
+        rank, at = min((ranks.get(x + y, 1 << 40), i) for i, (x, y) in enumerate(zip(pieces, pieces[1:])))
+        if rank == 1 << 40:
+            break
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+    return [ranks[p] for p in pieces]
+
+
+@given(st.text("abc", max_size=40), st.text("abc", min_size=1, max_size=40), st.integers(3, 30))
+@settings(max_examples=200, deadline=None)
+def test_backtracking_is_plain_bpe(corpus, text, merges):
+    ranks = {b"a": 0, b"b": 1, b"c": 2}
+    pieces = [bytes([x]) for x in corpus.encode()]
+    while len(ranks) < merges + 3 and len(pieces) > 1:  # a vocabulary as training would make it
+        pairs = Counter(zip(pieces, pieces[1:]))
+        x, y = max(pairs, key=lambda p: (pairs[p], p))
+        if x + y in ranks:
+            break
+        ranks[x + y] = len(ranks)
+        merged, i = [], 0
+        while i < len(pieces):
+            two = pieces[i : i + 2] == [x, y]
+            merged.append(x + y if two else pieces[i])
+            i += 1 + two
+        pieces = merged
+    e = bpe.BacktrackingEncoder(ranks)
+    assert e.encode(text.encode()) == plain_bpe(ranks, text.encode())
+    for left, a in ranks.items():
+        for right, b in ranks.items():
+            assert e.fits(a, b) == (plain_bpe(ranks, left + right) == [a, b])
+
+
 @given(st.lists(st.text(max_size=60) | st.text("ab' \n\ts.lvet1é", max_size=60), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_any_text(encoder, reference, texts):

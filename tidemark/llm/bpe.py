@@ -3,15 +3,17 @@
 A text is cut into pre-tokens with array operations on its code points, equal
 pre-tokens of a batch are encoded once, and the ids are put together by index.
 Each distinct pre-token is encoded exactly by :class:`BacktrackingEncoder`:
-an Aho-Corasick automaton gives the longest vocabulary entry at every byte, and
-a candidate is kept only if it can stand next to its predecessor, which the
-table of merges decides. The work is linear in the number of bytes.
+an Aho-Corasick automaton gives the vocabulary entries that match at every
+byte, and the longest that can stand next to its predecessor is kept, which the
+table of merges decides. The work is linear in the number of matches.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import os
 import unicodedata
 
 import ahocorasick
@@ -25,6 +27,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 
 LETTER, NUMBER, OTHER, SPACE, END = 0, 1, 2, 3, 4
+#: Stands behind each text; no sign has this number.
+TEXT_END = 0x110000
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -35,103 +39,99 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 
 
 class BacktrackingEncoder:
-    """Exact BPE of one byte string at a time."""
+    """Exact BPE of one byte string at a time.
+
+    A vocabulary entry is made by one merge of two earlier entries, so merges
+    run in the order of their ranks, and a piece of a text lives from the rank
+    of its own merge to the rank of the merge that takes it up. Of an entry
+    only the pieces at its two ends matter to what stands beside it:
+    ``tails(t)`` and ``heads(t)`` list them in the order of their lives, from
+    the single byte to the entry itself, each with the rank that ends it.
+    """
+
+    NEVER = 1 << 40
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {i: b for b, i in ranks.items()}
+        self.length = {i: len(b) for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for b, i in ranks.items():
             self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.length = {i: len(b) for b, i in ranks.items()}
-        self.shorter: dict[int, int | None] = {}
+        self.merge_of: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        self._learn_merges()
-
-    def _learn_merges(self) -> None:
-        """For each entry, by rank, the pair whose merge makes it."""
-        for b, i in sorted(self.ranks.items(), key=lambda x: x[1]):
-            self.halves[i] = (i, i)
-            if len(b) == 1:
-                continue
-            for cut in range(1, len(b)):
-                left, right = self.ranks.get(b[:cut]), self.ranks.get(b[cut:])
-                if left is not None and right is not None and left < i and right < i and self.fits(left, right):
-                    self.halves[i] = (left, right)
-                    self.merged[left, right] = i
+        self.heads = functools.cache(lambda t: self._lives(t, 0))
+        self.tails = functools.cache(lambda t: self._lives(t, 1))
+        self.fits = functools.lru_cache(1 << 20)(self._fits)
+        known = ranks.get
+        for b, i in sorted(ranks.items(), key=lambda x: x[1]):
+            # An entry's halves are the earlier entries that spell it and fit; if there are none, no merge makes it.
+            for k in range(1, len(b)):
+                left = known(b[:k], i)
+                if left < i and (right := known(b[k:], i)) < i and self._fits(left, right):
+                    self.halves[i] = left, right
+                    self.merge_of[left, right] = i
                     break
 
-    def fits(self, left: int, right: int) -> bool:
+    def _lives(self, token: int, side: int) -> list[tuple[int, int]]:
+        pieces = [(token, self.NEVER)]
+        while (halves := self.halves.get(token)) is not None:
+            pieces.append((halves[side], token))
+            token = halves[side]
+        return pieces[::-1]
+
+    def _fits(self, left: int, right: int) -> bool:
         """Whether BPE of the two entries' joint bytes gives just these two.
 
-        The seam is followed down through the merges that made either side, the
-        latest first; a merge across the seam that would have come earlier than
-        both sides' own latest merges spoils the pair.
+        It does unless some merge crosses the seam. Until one does, the sides
+        develop as each would alone, so it is enough to follow in time the two
+        pieces that meet at the seam and to ask of each meeting whether they
+        would merge while both are still there. Of equal ranks the leftmost
+        merge comes first: it takes the left piece away before the seam is
+        reached, but not the right one.
         """
-        merged, halves = self.merged, self.halves
-        before = 1 << 62
+        ends, begins, merge, never = self.tails(left), self.heads(right), self.merge_of.get, self.NEVER
+        i = j = 0
         while True:
-            across = merged.get((left, right))
-            if across is not None and across < before:
+            (x, x_until), (y, y_until) = ends[i], begins[j]
+            across = merge((x, y))
+            if across is not None and across < x_until and across <= y_until:
                 return False
-            if left > right:
-                before = left
-                left = halves[left][1]
-                if left == before:
-                    before = right + 1
-                    right = halves[right][0]
-                    if right + 1 == before:
-                        return True
+            if x_until == y_until == never:
+                return True
+            if x_until <= y_until:
+                i += 1
             else:
-                before = right + 1
-                right = halves[right][0]
-                if right + 1 == before:
-                    before = left
-                    left = halves[left][1]
-                    if left == before:
-                        return True
-
-    def _shorter(self, token: int) -> int | None:
-        """The longest other entry that starts this one."""
-        if token not in self.shorter:
-            b = self.tokens[token]
-            self.shorter[token] = next((r for n in range(len(b) - 1, 0, -1) if (r := self.ranks.get(b[:n])) is not None), None)
-        return self.shorter[token]
+                j += 1
 
     def encode(self, b: bytes) -> list[int]:
+        """Ids of a byte string.
+
+        Entries that start at a position are tried from the longest on, and one
+        that doesn't fit its predecessor is passed over; where none is left, the
+        step before is taken back. A row of entries in which all neighbours fit
+        is the BPE of its bytes, so each position is reached by one row at most:
+        a step taken back never comes again, and the tries are no more than the
+        matches of the automaton.
+        """
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        n = len(b)
-        longest: list[int] = [-1] * n
-        length = self.length
+        n, length, fits = len(b), self.length, self.fits
+        untried: list[list[int]] = [[] for _ in range(n)]
         for end, token in self.automaton.iter(b.decode("latin-1")):
-            longest[end + 1 - length[token]] = token  # ends only grow, so the last is the longest
-        dead = bytearray(n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0] if n else -1
+            untried[end + 1 - length[token]].append(token)  # ends only grow: the longest comes last
+        out: list[int] = [untried[0].pop()]
+        at = length[out[0]]
         while at < n:
-            candidate: int | None = token
-            while candidate is not None:
-                end = at + length[candidate]
-                if not dead[end] and (not out or self.fits(out[-1], candidate)):
+            options = untried[at]
+            while options:
+                token = options.pop()
+                if not out or fits(out[-1], token):
+                    out.append(token)
+                    at += length[token]
                     break
-                candidate = self._shorter(candidate)
-            if candidate is not None:
-                out.append(candidate)
-                at = end
-                token = longest[at] if at < n else -1
             else:
-                dead[at] = 1
-                last = out.pop()
-                at -= length[last]
-                token = self._shorter(last)
-                while token is None:  # nothing shorter here either
-                    dead[at] = 1
-                    last = out.pop()
-                    at -= length[last]
-                    token = self._shorter(last)
+                at -= length[out.pop()]
         return out
 
 
@@ -220,32 +220,20 @@ class ColumnEncoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.encoder = BacktrackingEncoder(ranks)
         self.kinds = char_classes()
-        rng = np.random.default_rng(20240229)
-        # Any odd base does; points are spread first so that short texts differ in all bits.
-        self.base = np.uint64(0x9E3779B97F4A7C15 | 1)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.spread = rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        # Keys only spread pre-tokens over slots; what they find is compared sign by sign, so any odd factors do.
+        self.factors = np.frombuffer(os.urandom(24), np.uint64) | np.uint64(1)
         self.most = most_cached
         self._clear()
-        self.powers = np.ones(1, np.uint64)
-        self.inverses = np.ones(1, np.uint64)
 
     def _clear(self) -> None:
         self.key = np.zeros(self.SLOTS, np.uint64)
         self.first = np.zeros(self.SLOTS, np.int64)
         self.count = np.zeros(self.SLOTS, np.int32)
-        self.store = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.cached = 0
-
-    def _grow_powers(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 16)
-            p = np.full(n, self.base, np.uint64)
-            p[0] = 1
-            q = np.full(n, self.inverse, np.uint64)
-            q[0] = 1
-            self.powers, self.inverses = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
+        self.begin = np.zeros(self.SLOTS, np.int32)
+        self.size = np.zeros(self.SLOTS, np.int32)
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.signs = np.zeros(1 << 18, np.uint32)
+        self.used = self.written = self.cached = 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key, or -1."""
@@ -262,50 +250,81 @@ class ColumnEncoder:
             slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
         return out
 
-    def _insert(self, key: int, ids: list[int]) -> None:
-        s = (key >> 20) & (self.SLOTS - 1)
-        while self.key[s] != 0:
-            s = (s + 1) & (self.SLOTS - 1)
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(len(self.store), np.int32)])
-        self.key[s], self.first[s], self.count[s] = key, self.used, len(ids)
-        self.store[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.cached += 1
+    def _insert(self, keys: np.ndarray, signs: np.ndarray, sizes: np.ndarray, ids: list[list[int]]) -> None:
+        """Keep distinct pre-tokens: their signs, all in a row, and their ids."""
+        slots = []
+        for s in ((keys >> np.uint64(20)) & np.uint64(self.SLOTS - 1)).tolist():
+            while self.size[s]:
+                s = (s + 1) & (self.SLOTS - 1)
+            self.size[s] = 1
+            slots.append(s)
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(count.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+        while self.written + len(signs) > len(self.signs):
+            self.signs = np.concatenate([self.signs, np.zeros(len(self.signs), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.signs[self.written : self.written + len(signs)] = signs
+        self.key[slots], self.count[slots], self.size[slots] = keys, count, sizes
+        self.first[slots] = self.used + np.cumsum(count) - count
+        self.begin[slots] = self.written + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.written += len(signs)
+        self.cached += len(keys)
+
+    def _other(self, slot: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which pre-tokens are not the ones their slots hold."""
+        out = self.size[slot] != sizes
+        whole = np.cumsum(sizes, dtype=np.int32)
+        before = whole - sizes
+        place = np.arange(whole[-1], dtype=np.int32)
+        kept = np.repeat(self.begin[slot] - before, sizes)
+        kept += place
+        if whole[-1] != len(points):
+            points = points[np.repeat(starts - before, sizes) + place]
+        differs = np.flatnonzero(self.signs.take(kept, mode="clip") != points)
+        out[np.searchsorted(whole, differs, side="right")] = True
+        return out
 
     def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The slot of every pre-token and how many pre-tokens come before each text."""
+        """The slot of every pre-token and how many pre-tokens come before each text's end."""
         joined = "\0".join(texts) + "\0"
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kinds = self.kinds[points]
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
-        kinds[ends] = END
-        starts = cut(points, kinds)
-        n = len(points)
-        self._grow_powers(n + 1)
-        v = (points.astype(np.uint64) + np.uint64(1)) * self.spread[0]
-        v ^= v >> np.uint64(29)
-        v *= self.spread[1]
-        v *= self.powers[:n]
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(v, dtype=np.uint64, out=total[1:])
-        stops = np.append(starts[1:], n)
-        keep = kinds[starts] != END
-        bounds = np.searchsorted(starts, ends)  # the END of each text begins a token of its own
-        before = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], bounds])]
-        starts, stops = starts[keep], stops[keep]
-        keys = (total[stops] - total[starts]) * self.inverses[starts]
-        keys ^= (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        keys[keys == 0] = 1
-        slot = self._find(keys)
-        missing = np.flatnonzero(slot < 0)
-        if len(missing):
-            distinct, where = np.unique(keys[missing], return_index=True)
-            for k, w in zip(distinct.tolist(), missing[where].tolist()):
-                self._insert(k, self.encoder.encode(joined[starts[w] : stops[w]].encode()))
-            slot[missing] = self._find(keys[missing])
-        return slot, before
+        kinds = self.kinds[points]
+        kinds[ends], points[ends] = END, TEXT_END
+        starts = cut(points, kinds).astype(np.int32)
+        sizes = np.diff(np.append(starts, np.int32(len(points))))
+        one, two, three = self.factors
+        place = np.arange(len(points), dtype=np.int32)
+        place -= np.repeat(starts, sizes)
+        mixed = place.astype(np.uint64)
+        mixed <<= np.uint64(21)
+        mixed |= points
+        mixed *= one
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= two
+        mixed ^= mixed >> np.uint64(29)
+        keys = np.add.reduceat(mixed, starts)
+        slot = np.empty(len(starts), np.int64)
+        todo = np.arange(len(starts))
+        while len(todo):
+            own = keys[todo] | np.uint64(1)  # 0 is an empty slot
+            at = self._find(own)
+            missing = np.flatnonzero(at < 0)
+            if len(missing):
+                distinct, where = np.unique(own[missing], return_index=True)
+                new = todo[missing[where]]
+                a, b = starts[new], starts[new] + sizes[new]
+                signs = points[np.repeat(a - np.cumsum(sizes[new]) + sizes[new], sizes[new]) + np.arange(int(sizes[new].sum()))]
+                ids = [[] if end else self.encoder.encode(joined[i:j].encode()) for i, j, end in zip(a.tolist(), b.tolist(), (points[a] == TEXT_END).tolist())]
+                self._insert(distinct, signs, sizes[new], ids)
+                at[missing] = self._find(own[missing])
+            slot[todo] = at
+            todo = todo[self._other(at, points, starts[todo], sizes[todo])]
+            keys[todo] = (keys[todo] ^ (keys[todo] >> np.uint64(32))) * three + np.uint64(2)
+        return slot, np.searchsorted(starts, ends) + 1
 
     def encode(self, texts: list[str], most_points: int = 2_000_000):
         """Flat ids and each text's end in them; texts are taken in groups of bounded size."""
@@ -314,10 +333,9 @@ class ColumnEncoder:
             slot, before = self._slots(group)
             count = self.count[slot].astype(np.int64)
             ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(self.first[slot] - (ends - count), count) + np.arange(total)
-            flat.append(self.store[at])
-            sizes.append(np.diff(np.concatenate([[0], ends])[before]))
+            at = np.repeat(self.first[slot] - (ends - count), count) + np.arange(ends[-1])
+            flat.append(self.ids[at])
+            sizes.append(np.diff(ends[before - 1], prepend=0))
         if not flat:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         return np.concatenate(flat), np.cumsum(np.concatenate(sizes))
@@ -326,8 +344,7 @@ class ColumnEncoder:
         sizes = []
         for group in self._groups(texts, most_points):
             slot, before = self._slots(group)
-            ends = np.cumsum(self.count[slot].astype(np.int64))
-            sizes.append(np.diff(np.concatenate([[0], ends])[before]))
+            sizes.append(np.diff(np.cumsum(self.count[slot].astype(np.int64))[before - 1], prepend=0))
         return np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
 
     def _groups(self, texts: list[str], most: int):
