@@ -10,6 +10,7 @@ from tidemark.functions import vec
 from tidemark.models import layers as N
 from tidemark.operators import optim as O
 from tidemark.operators import partition as P
+from tidemark.operators.ranking import prefix_sum_by_order
 
 
 def value(spark, column, **columns):
@@ -99,10 +100,36 @@ def test_work_ranges_cover(spark, total, workers):
 def test_cuts(spark):
     df = spark.createDataFrame([(i, 10) for i in range(20)], "k bigint, n int")
     assert [r.part for r in P.split_by_weight(df, "k", "n", 50).orderBy("k").collect()] == [i // 5 for i in range(20)]
-    assert [r.part for r in P.greedy_parts(df, "k", "n", 40.0, 5.0, block=12).orderBy("k").collect()][:12] == [i // 4 for i in range(12)]
+    assert [r.part for r in P.greedy_parts(df, "k", "n", 40.0, 5.0, block=12).orderBy("k").collect()] == [i // 4 for i in range(20)]
     assert [r.row_no for r in P.numbered(df, "k").orderBy("k").collect()] == list(range(20))
 
 
+def test_greedy_cut_is_one_pass_at_any_block(spark):
+    rng = np.random.default_rng(4)
+    weights = [int(w) for w in rng.integers(0, 30, 150)] + [300, 0, 0, 7, 45, 46]
+    keys = sorted(rng.choice(10**12, len(weights), replace=False).tolist())
+    want, part, total = [], 0, 0
+    for w in weights:
+        want.append(part)
+        total += w
+        if total > 45:
+            part, total = part + 1, 0
+    df = spark.createDataFrame(list(zip(keys, weights)), "k bigint, n int")
+    for block in (1, 7, 10, 10**6):
+        assert [r.part for r in P.greedy_parts(df, "k", "n", 50.0, 5.0, block=block).orderBy("k").collect()] == want
+    assert P.greedy_parts(df.limit(0), "k", "n", 50.0, 5.0).count() == 0
+
+
+def test_an_outlier_fills_no_slice(spark):
+    """Values a billion apart fall into slices of like numbers, and ties are told apart by the key."""
+    df = spark.range(40_000).select(F.col("id").alias("k"), F.when(F.col("id") == 7, 1e18).when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    got = prefix_sum_by_order(df, ["v", "k"], None, "at")
+    rows = sorted((r.v, r.k, r.at) for r in got.collect())
+    assert [r[2] for r in rows] == list(range(40_000))
+    slices = df.repartitionByRange(8, "v", "k").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in slices) < 8_000
+
+
 def test_convolution_and_pooling():
     rng = np.random.default_rng(0)
     x, w = rng.random((2, 3, 7, 6)), rng.random((4, 3, 3, 3))

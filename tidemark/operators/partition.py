@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import prefix_sum_by_unit, rank_by_unit
-from tidemark.runtime import hash_unit
+from tidemark.operators.ranking import prefix_sum_by_order, rank_by_unit, slices_for
+from tidemark.runtime import staged, text_unit
 
 
 def work_range(total: int, workers: int, worker: int, even: bool = True) -> tuple[int, int]:
@@ -28,13 +29,8 @@ def batches_of(total: int, size: int) -> int:
 
 
 def numbered(df: DataFrame, order: str, out: str = "row_no") -> DataFrame:
-    """Zero-based row numbers by a unique numeric column, without one task that sorts everything.
-
-    Rows fall into equal ranges of the column's values; counts per range give
-    each range's first number, and rows are numbered within their range.
-    """
-    g = _ranged(df, order).withColumn("__one", F.lit(1)).withColumn("__all", F.lit(0))
-    return prefix_sum_by_unit(g, ["__all"], "__u", order, "__one", out).drop("__u", "__one", "__all")
+    """Zero-based row numbers by a unique column, without one task that sorts everything (:func:`prefix_sum_by_order`)."""
+    return prefix_sum_by_order(df, [order], None, out)
 
 
 def worker_of(row_no: Column, total: Column | int, workers: int) -> Column:
@@ -66,8 +62,8 @@ def relabel(coo: DataFrame, mapping: DataFrame, col: str = "i") -> DataFrame:
 
 def hash_permutation(ids: DataFrame, col: str, seed: int = 0) -> DataFrame:
     """``old, new``: a permutation of the distinct ids onto 0…n−1 that depends only on ids and seed."""
-    d = ids.select(F.col(col).alias("old")).distinct().withColumn("__u", hash_unit("old", seed=seed)).withColumn("__one", F.lit(1)).withColumn("__all", F.lit(0))
-    return prefix_sum_by_unit(d, ["__all"], "__u", "old", "__one", "new").select("old", F.col("new").cast("int").alias("new"))
+    d = ids.select(F.col(col).alias("old")).distinct().withColumn("__u", text_unit("old", seed=seed)).withColumn("__all", F.lit(0))
+    return rank_by_unit(d, ["__all"], "__u", "old", "__rank", buckets=slices_for(d.count())).select("old", (F.col("__rank") - 1).cast("int").alias("new"))
 
 
 def split_by_weight(rows: DataFrame, key: str, weight: str, target: Column | int, out: str = "part") -> DataFrame:
@@ -75,43 +71,77 @@ def split_by_weight(rows: DataFrame, key: str, weight: str, target: Column | int
 
     No row is cut; a part is over the target by less than one row.
     """
-    ranged = _ranged(rows, key)
-    placed = prefix_sum_by_unit(ranged.withColumn("__all", F.lit(0)), ["__all"], "__u", key, weight, "__before")
+    placed = prefix_sum_by_order(rows, [key], weight, "__before")
     t = F.lit(target) if isinstance(target, int) else target
-    return placed.withColumn(out, F.floor(F.col("__before") / t).cast("int")).drop("__u", "__all", "__before")
-
+    return placed.withColumn(out, F.floor(F.col("__before") / t).cast("int")).drop("__before")
 
-def _ranged(df: DataFrame, order: str) -> DataFrame:
-    span = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1))
-    return df.crossJoin(F.broadcast(span)).withColumn("__u", F.least((F.col(order) - F.col("__lo")) / width, F.lit(1 - 1e-12))).drop("__lo", "__hi")
 
+def greedy_parts(sizes: DataFrame, key: str, weight: str, target: float, mean: float, block: int = 65_536) -> DataFrame:
+    """``key, weight, part``: sequential cut by a unique key; a part ends when its weight passes target − mean.
 
-def greedy_parts(sizes: DataFrame, key: str, weight: str, target: float, mean: float, block: int = 1_000_000) -> DataFrame:
-    """``key, weight, part``: sequential cut; a part ends when its weight passes target − mean.
-
-    The cut begins anew at each part, so it can't come from one running sum. It
-    runs over ``block`` ids at a time, each block a task of its own, and a block
-    begins a new part; parts are numbered in order over all blocks.
+    The cut begins anew at each part, so it can't come from one running sum.
+    Rows lie in blocks of ``block`` by their order, a task each. All that a
+    block needs to know of those before it is the weight of the part that is
+    open at its first row. Which row then closes that part is among the rows
+    whose sum stays within the limit, no more than a part has; each block tells
+    for each of these how many parts follow and what weight is open at its end.
+    One task hands the weight on through these few rows a block, and each block
+    is cut. The result is that of one pass over all rows, whatever ``block``.
+    Weights are not negative; a null counts as 0 and stays null.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        part, total, out = 0, 0.0, []
-        for w in pdf[weight]:
-            out.append(part)
-            total += w
-            if total > target - mean:
-                part, total = part + 1, 0.0
-        return pd.DataFrame({key: pdf[key], weight: pdf[weight], "__block": pdf["__block"], "__part": out})
-
+    limit = target - mean
     kinds = {c: sizes.schema[c].dataType.simpleString() for c in (key, weight)}
-    blocks = sizes.select(key, weight, F.floor(F.col(key) / block).cast("bigint").alias("__block"))
-    cut = blocks.groupBy("__block").applyInPandas(run, f"{key} {kinds[key]}, {weight} {kinds[weight]}, __block bigint, __part int")
-    counts = cut.groupBy("__block").agg((F.max("__part") + 1).alias("__n"))
-    first = counts.select("__block", (F.sum("__n").over(W.orderBy("__block")) - F.col("__n")).alias("__first"))  # one row a block
-    return cut.join(first, "__block").select(key, weight, (F.col("__first") + F.col("__part")).cast("int").alias("part"))
+    rows = numbered(sizes.select(key, weight), key, "__at").withColumn("__block", F.floor(F.col("__at") / block))
+    rows = staged(rows, "greedy-rows")
+
+    def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        pdf = pdf.sort_values("__at")
+        return pdf, np.concatenate([[0.0], np.cumsum(pdf[weight].fillna(0).to_numpy(float))])
+
+    def close(total: np.ndarray, start: int, held: float) -> int:
+        """Rows up to the one that ends a part with so much weight before ``start``; past the last if none does."""
+        return int(np.searchsorted(total[1:], total[start] + limit - held, side="right")) + 1
+
+    def answers(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, total = ordered(pdf)
+        n, known, out = len(total) - 1, {}, []
+        for end in range(1, min(close(total, 0, 0.0), n) + 1):
+            at, path = end, []
+            while at not in known and at <= n and (after := close(total, at, 0.0)) <= n:
+                path.append(at)
+                at = after
+            parts, tail = known.get(at, (0, total[n] - total[min(at, n)]))
+            for p in reversed(path):
+                parts += 1
+                known[p] = parts, tail
+            out.append((int(pdf["__block"].iloc[0]), end, float(total[end]), parts + 1, float(tail)))
+        out.append((int(pdf["__block"].iloc[0]), n + 1, float(total[n]), 0, float(total[n])))
+        return pd.DataFrame(out, columns=["__block", "end", "reach", "parts", "tail"])
+
+    def hand_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, part, out = 0.0, 0, []
+        for number, group in pdf.sort_values(["__block", "end"]).groupby("__block", sort=True):
+            out.append((number, held, part))
+            closing = group[:-1][group["reach"][:-1] + held > limit]
+            if len(closing):
+                part, held = part + int(closing["parts"].iloc[0]), float(closing["tail"].iloc[0])
+            else:
+                held += float(group["reach"].iloc[-1])
+        return pd.DataFrame(out, columns=["__block", "__held", "__part"])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, total = ordered(pdf)
+        n, part, at, held = len(total) - 1, int(pdf["__part"].iloc[0]), 0, float(pdf["__held"].iloc[0])
+        parts = np.empty(n, np.int64)
+        while at < n:
+            end = min(close(total, at, held), n)
+            parts[at:end] = part
+            at, part, held = end, part + 1, 0.0
+        return pd.DataFrame({key: pdf[key], weight: pdf[weight], "part": parts})
+
+    told = rows.groupBy("__block").applyInPandas(answers, "__block bigint, end int, reach double, parts bigint, tail double")
+    entered = told.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(hand_on, "__block bigint, __held double, __part bigint")
+    return rows.join(entered, "__block").groupBy("__block").applyInPandas(cut, f"{key} {kinds[key]}, {weight} {kinds[weight]}, part int")
 
 
 def quantile_labels(scores: DataFrame, score: str, buckets: int, key: str, out: str = "label") -> DataFrame:
@@ -119,15 +149,14 @@ def quantile_labels(scores: DataFrame, score: str, buckets: int, key: str, out:
 
     Cut point l is the score at sorted place ``(l + 1) * n / buckets`` (from 0),
     the last the largest score. Places are exact and come from counts per slice
-    of the scores' range; rows are then labelled by comparing with ``buckets``
+    of the ordered scores; rows are then labelled by comparing with ``buckets``
     values.
     """
     n = scores.count()
-    places = sorted({*(min((l + 1) * n // buckets, n - 1) for l in range(buckets - 1)), n - 1} if n else [])
-    ranked = rank_by_unit(_ranged(scores, score).withColumn("__all", F.lit(0)), ["__all"], "__u", key, "__rank")
-    at = ranked.where((F.col("__rank") - 1).isin(places)).select("__rank", F.col(score).alias("__v"))  # as many rows as buckets
     per = [min((l + 1) * n // buckets, n - 1) if l < buckets - 1 else n - 1 for l in range(buckets)] if n else []
-    found = at.agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"))
-    cuts = found.select(F.array(*[F.try_element_at("__m", F.lit(p + 1).cast("bigint")) for p in per]).alias("__cuts")) if per else found.select(F.array(F.lit(0.0)).alias("__cuts"))
+    placed = prefix_sum_by_order(scores.select(score, key), [score, key], None, "__place")
+    at = placed.where(F.col("__place").isin(sorted(set(per)))).select("__place", F.col(score).alias("__v"))  # as many rows as buckets
+    found = at.agg(F.map_from_entries(F.collect_list(F.struct("__place", "__v"))).alias("__m"))
+    cuts = found.select(F.array(*[F.try_element_at("__m", F.lit(p).cast("bigint")) for p in per]).alias("__cuts")) if per else found.select(F.array(F.lit(0.0)).alias("__cuts"))
     low = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.when(F.get("__cuts", i) >= F.col(score), i)), lambda v: v.isNotNull()))
     return scores.crossJoin(F.broadcast(cuts)).withColumn(out, F.coalesce(low, F.lit(buckets - 1)).cast("int")).drop("__cuts")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import hash_unit
+from tidemark.runtime import text_unit
 
 POLICIES = ("fifo", "random", "relative_magnitude", "fifo_n_remag", "fixed_order")
 # The flag's spellings of the policies.
@@ -36,7 +36,7 @@ def order_of(policy: str, cursor: int = 0, n_rows: int = 1, seed: int = 0) -> li
     if policy == "fifo":
         return [F.asc("min_clock"), F.asc("row_id")]
     if policy == "random":
-        return [hash_unit("row_id", seed=seed).asc(), F.asc("row_id")]
+        return [text_unit("row_id", seed=seed).asc(), F.asc("row_id")]
     if policy in ("relative_magnitude", "fifo_n_remag"):
         return [F.desc("importance"), F.asc("row_id")]
     if policy == "fixed_order":
@@ -60,13 +60,17 @@ def up_to_clock_then_top(pending: DataFrame, clock: int, capacity: int, policy:
     return due.unionByName(fill)
 
 
-def candidate_top(pending: DataFrame, k: int, factor: float, total: int, seed: int = 0) -> DataFrame:
+def candidate_top(pending: DataFrame, k: int, factor: float, total: int | None = None, seed: int = 0) -> DataFrame:
     """Approximate top-k: of an independent sample with probability min(1, k · factor / total), the most important k.
 
+    ``total`` is the number of pending rows; None counts them, inside the plan.
     The draw depends on the row id and the seed alone, so it can be repeated.
     """
-    p = min(1.0, k * factor / max(total, 1))
-    return top_rows(pending.where(hash_unit("row_id", seed=seed) < p), k)
+    unit = text_unit("row_id", seed=seed)
+    if total is not None:
+        return top_rows(pending.where(unit < min(1.0, k * factor / max(total, 1))), k)
+    counted = pending.agg((F.lit(float(k * factor)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("__rate"))
+    return top_rows(pending.crossJoin(F.broadcast(counted)).where(unit < F.col("__rate")).drop("__rate"), k)
 
 
 def merge_pending(a: DataFrame, b: DataFrame, keep_min: bool = True) -> DataFrame:

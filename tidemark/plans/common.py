@@ -16,6 +16,12 @@ def r(x: Column | str, places: int = 6) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, places) + F.lit(0.0)
 
 
+def text_unit_sql(seed: int, *cols: str) -> str:
+    """SQL for :func:`tidemark.runtime.text_unit`."""
+    values = ", ".join(f"coalesce({c}::VARCHAR, '~')" for c in cols)
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {values})), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
 def lineitem_log(spark: SparkSession, root: str) -> DataFrame:
     """Increments of the table supplier × line number by quantity."""
     return inc(table(spark, root, "lineitem"), "l_suppkey", "l_linenumber", "l_quantity")

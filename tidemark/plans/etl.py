@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import partition as P
-from tidemark.plans.common import EMB_SQL, r
+from tidemark.plans.common import EMB_SQL, r, text_unit_sql
 from tidemark.runtime import table
 
 
@@ -130,6 +130,11 @@ ORACLE = {
     "worker_ranges": """WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_no, count(*) OVER () AS n FROM customer),
         w AS (SELECT w, w * (n // 7) + least(w, n % 7) AS first, (w + 1) * (n // 7) + least(w + 1, n % 7) AS stop FROM (SELECT DISTINCT n FROM c), range(0, 7) t(w))
         SELECT CAST(w AS INT) AS worker, CAST(first AS BIGINT) AS first, CAST(stop AS BIGINT) AS "end" FROM w WHERE stop > first""",
+    "token_partition_greedy": """WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE n_chars IS NOT NULL),
+        g AS (SELECT rn, doc_id, 0 AS part, n_chars AS total FROM o WHERE rn = 1
+            UNION ALL SELECT o.rn, o.doc_id, g.part + (g.total > 48200)::INT, CASE WHEN g.total > 48200 THEN o.n_chars ELSE g.total + o.n_chars END FROM g JOIN o ON o.rn = g.rn + 1)
+        SELECT doc_id, CAST(part AS INT) AS part FROM g""",
+    "permute_hash": f"WITH {_COO}, d AS (SELECT DISTINCT i AS old FROM c) SELECT old, CAST(row_number() OVER (ORDER BY {text_unit_sql(3, 'old')}, old) - 1 AS INT) AS new FROM d",
     "token_partition": "SELECT doc_id, CAST((sum(n_chars) OVER (ORDER BY doc_id) - n_chars) // 50000 AS INT) AS part FROM documents WHERE n_chars IS NOT NULL",
     "quantile_label": """WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice) - 1 AS rn, count(*) OVER () AS n FROM orders),
         c AS (SELECT l, CASE WHEN l = 6 THEN (SELECT max(o_totalprice) FROM o) ELSE (SELECT o_totalprice FROM o WHERE rn = least((l + 1) * n // 7, n - 1)) END AS cut FROM range(0, 7) t(l))

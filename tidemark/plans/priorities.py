@@ -8,7 +8,7 @@ from tidemark.functions import vec
 from tidemark.operators import clocks as C
 from tidemark.operators import priority as P
 from tidemark.operators.deltas import merge
-from tidemark.plans.common import EVENT_SQL, LINE_SQL, event_log, lineitem_log, r
+from tidemark.plans.common import EVENT_SQL, LINE_SQL, event_log, lineitem_log, r, text_unit_sql
 
 
 def importance_abs(spark, root):
@@ -56,7 +56,7 @@ def random_order(spark, root):
 
 def candidate_topk(spark, root):
     pending = P.pending_rows(event_log(spark, root))
-    return P.candidate_top(pending, 20, 3.0, 150, seed=7).select("row_id", r("importance", 4).alias("importance"))
+    return P.candidate_top(pending, 20, 3.0, seed=7).select("row_id", r("importance", 4).alias("importance"))
 
 
 def merge_pending(spark, root):
@@ -103,6 +103,9 @@ ORACLE = {
         q AS (SELECT *, min_clock <= 4 AS due, row_number() OVER (PARTITION BY min_clock <= 4 ORDER BY imp DESC, row_id) AS rn, sum(CASE WHEN min_clock <= 4 THEN 1 ELSE 0 END) OVER () AS nd FROM p)
         SELECT row_id, min_clock, due FROM q WHERE due OR rn <= greatest(0, 120 - nd)""",
     "fixed_order_cursor": f"WITH {EVENT_SQL} SELECT row_id FROM (SELECT DISTINCT row_id FROM event_log) ORDER BY (((row_id - 140) % 150) + 150) % 150, row_id LIMIT 25",
+    "random_order": f"WITH {EVENT_SQL} SELECT row_id FROM (SELECT DISTINCT row_id FROM event_log) ORDER BY {text_unit_sql(11, 'row_id')}, row_id LIMIT 25",
+    "candidate_topk": f"""WITH {EVENT_SQL}, {_PENDING} SELECT row_id, round(imp, 4) + 0.0 AS importance FROM p
+        WHERE {text_unit_sql(7, 'row_id')} < 60.0 / (SELECT count(*) FROM p) ORDER BY imp DESC, row_id LIMIT 20""",
     "merge_pending": f"WITH {EVENT_SQL}, {_PENDING} SELECT row_id, round(imp, 4) + 0.0 AS importance, min_clock, n FROM p",
     "merge_pending_overwrite": f"""WITH {EVENT_SQL} SELECT row_id, coalesce(min(clock) FILTER (clock >= 10), min(clock)) AS min_clock, count(*) AS n FROM event_log GROUP BY 1""",
     "dirty_subscribed": f"""WITH {EVENT_SQL}, d AS (SELECT row_id, col_id, sum(delta) AS v FROM event_log WHERE clock = 5 GROUP BY 1, 2)
