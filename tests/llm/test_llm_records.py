@@ -1,5 +1,6 @@
 """Samples, overlaps, mixtures on small tables."""
 
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -143,28 +144,37 @@ def test_no_overlap(spark):
     assert overlap.split_overlap(images(spark, [(1, "train", "s", 1, 1, 1, b"a"), (2, "val", "s", 1, 1, 1, b"b")])).count() == 1
 
 
-DOCS = "doc_id bigint, text string, source string, repeats int, tokens string, n_tokens string"
+DOCS = "doc_id bigint, text string, source string, pass int, tokens string, n_tokens string"
 MIX = "mix_id bigint, source string, target_share double, max_repeats int, size_percent double, available string"
 
 
 def test_mixture_budgets(spark):
     docs = [(i, "one two three four five " * (1 + i % 4), "big") for i in range(400)] + [(1000 + i, "a b c d " * 5, "small") for i in range(20)] + [(2000, "", "big"), (2001, None, "big"), (2002, "x", None), (2003, "x y", "unnamed")]
+    docs += [(3000 + i, "p q r " * 6, "third") for i in range(90)]
     df = spark.createDataFrame([(*d, 1, "z", "z") for d in docs], DOCS)
-    targets = spark.createDataFrame([(1, "big", 0.7, 1, 50.0, "z"), (1, "small", 0.3, 2, 50.0, "z"), (2, "small", 0.5, 4, 30.0, "z"), (2, "big", 0.4, 2, 30.0, "z"), (2, "gone", 0.1, 2, 30.0, "z")], MIX)
-    mixture, shares = mixing.mix_sources(df, targets)
+    listed = [(1, "big", 0.7, 1, 50.0, "z"), (1, "small", 0.3, 2, 50.0, "z"), (2, "small", 0.4, 30, 30.0, "z"), (2, "big", 0.3, 2, 30.0, "z"), (2, "third", 0.1, 9, 30.0, "z"), (2, "third", 0.1, 7, 30.0, "z"), (2, "gone", 0.1, 2, 30.0, "z")]
+    mixture, shares = mixing.mix_sources(df, spark.createDataFrame(listed, MIX))
     s = {(r.mix_id, r.source): r for r in shares.collect()}
     m = mixture.collect()
-    assert len(s) == 5 and s[2, "gone"].tokens == 0
+    limits = {(1, "big"): 1, (1, "small"): 2, (2, "small"): 30, (2, "big"): 2, (2, "third"): 7, (2, "gone"): 2}
+    assert set(s) == set(limits) and s[2, "gone"].tokens == 0 and s[2, "gone"].deficit > 0 and s[2, "third"].target_share == pytest.approx(0.2)
     largest = max(r.n_tokens for r in m)
     for (mix, source), r in s.items():
         own = [x for x in m if (x.mix_id, x.source) == (mix, source)]
-        limit = {(1, "big"): 1, (1, "small"): 2, (2, "small"): 4, (2, "big"): 2, (2, "gone"): 2}[mix, source]
-        assert max([x.repeats for x in own], default=0) <= limit
-        assert sum(x.repeats * x.n_tokens for x in own) == r.tokens
-        assert abs(r.tokens - r.budget_tokens) <= largest / 2 + 1
-        assert max([x.repeats for x in own], default=0) - min([x.repeats for x in own], default=0) <= 1
-    assert s[1, "small"].tokens == 2 * s[1, "small"].available_tokens and s[1, "small"].exponent < 1  # the limit binds
-    assert s[1, "big"].share == pytest.approx(0.7, abs=0.01) and s[1, "big"].exponent == 1
+        repeats = Counter(x.doc_id for x in own)
+        assert max(repeats.values(), default=0) <= limits[mix, source]
+        assert max(repeats.values(), default=0) - min(repeats.values(), default=0) <= 1
+        assert sum(x.n_tokens for x in own) == r.tokens and abs(r.tokens - r.budget_tokens) <= largest / 2 + 1
+        at = 0
+        for x in sorted(own, key=lambda x: x.start):  # the copies follow each other without a gap, pass by pass
+            assert x.start == at and x["pass"] == at // max(r.available_tokens, 1)
+            at += x.n_tokens
+    for mix in (1, 2):
+        assert sum(r.share for (k, _), r in s.items() if k == mix) == pytest.approx(1)
+    assert s[1, "small"].tokens == 2 * s[1, "small"].available_tokens and s[1, "small"].deficit > 0  # the limit binds
+    assert s[1, "big"].share > 0.7 and s[1, "big"].deficit == 0
+    order = [[x.doc_id for x in sorted(m, key=lambda x: x.start) if (x.mix_id, x.source, x["pass"]) == (2, "small", k)] for k in (0, 1)]
+    assert sorted(order[0]) == sorted(order[1]) and order[0] != order[1]
     assert not {2000, 2001, 2002, 2003} & {x.doc_id for x in m}
 
 
@@ -176,10 +186,50 @@ def test_mixture_of_nothing(spark):
     assert m.count() == 0 and s.count() == 0
 
 
-def test_exponents():
-    e, w = mixing.bisect_exponent(np.array([0.5, 0.1, 0.1]), np.array([0.2, 0.4, 0.4]), np.array([1.0, 0.3, 0.05]))
-    assert e[0] == 1 and w[0] == pytest.approx(0.2) and w[1] == pytest.approx(0.3) and 0 < e[1] < 1 and (e[2], w[2]) == (0, 0.05)
-    p = np.array([0.7, 0.2, 0.1, 0.0])
-    x, shares = mixing.entropy_exponent(p, 1.0)
-    assert -(shares[:3] * np.log(shares[:3])).sum() == pytest.approx(1.0) and shares[3] == 0 and 0 < x < 1
-    assert mixing.entropy_exponent(p, 99.0)[1][:3] == pytest.approx([1 / 3] * 3)
+def test_weights_of_a_mixture():
+    natural, target = np.array([0.6, 0.3, 0.1, 0.0]), np.array([0.3, 0.3, 0.3, 0.1])
+    e, w = mixing.mixture_weights(natural, target, np.array([9.0, 9.0, 0.1, 0.0]))
+    assert w.sum() == pytest.approx(1) and w[2] == pytest.approx(0.1) and w[3] == 0
+    assert not np.allclose(w, np.minimum(target, [9.0, 9.0, 0.1, 0.0])) and w[0] / w[1] == pytest.approx((0.3 + 0.3 * 0.6**e / (0.6**e + 0.3**e)) / (0.3 + 0.3 * 0.3**e / (0.6**e + 0.3**e)))
+    # The exponent brings the entropy to that of the targets where it can.
+    target = np.array([0.5, 0.2, 0.2, 0.1])
+    e, w = mixing.mixture_weights(np.array([0.5, 0.3, 0.2, 0.0]), target, np.array([9.0, 9.0, 9.0, 0.0]))
+    assert e == 0 or mixing.entropy(w) == pytest.approx(mixing.entropy(target), abs=1e-6)
+    e, w = mixing.mixture_weights(np.array([0.5, 0.45, 0.05]), np.array([0.3, 0.3, 0.4]), np.array([0.4, 9.0, 0.1]))
+    assert w == pytest.approx([0.4, 0.5, 0.1])  # no exponent will do: one stays at its limit, the other takes the rest
+    e, w = mixing.mixture_weights(np.array([0.5, 0.5]), np.array([0.25, 0.75]), np.array([9.0, 9.0]))
+    assert np.isnan(e) and w == pytest.approx([0.25, 0.75])
+    e, w = mixing.mixture_weights(np.array([0.5, 0.5]), np.array([0.5, 0.5]), np.array([0.2, 0.3]))
+    assert w == pytest.approx([0.2, 0.3])
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 9))
+        natural, target, most = rng.dirichlet(np.ones(n)), rng.dirichlet(np.ones(n)), rng.uniform(0, 1.5, n)
+        natural[rng.random(n) < 0.2] = 0
+        most[natural == 0] = 0
+        _, w = mixing.mixture_weights(natural, target, most)
+        assert (w <= most + 1e-9).all() and (w >= np.minimum(target, most) - 1e-9).all()
+        assert w.sum() == pytest.approx(min(1, most.sum()), abs=1e-6)
+
+
+def test_shares_follow_from_token_counts(spark, data):
+    """The report of the whole tables, from the library's token counts and plain Python."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    docs, targets = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/mix_targets.parquet")
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    tokens: Counter = Counter()
+    for r in docs.where("source is not null").select("source", "text").collect():
+        tokens[r.source] += len(t.encode(r.text or "", add_special_tokens=False).ids)
+    total = sum(tokens.values())
+    shares = {(r.mix_id, r.source): r for r in mixing.mix_sources(docs, targets)[1].collect()}
+    for mix in {k for k, _ in shares}:
+        own = [r for r in targets.collect() if r.mix_id == mix]
+        size = own[0].size_percent / 100 * total
+        e, w = mixing.mixture_weights(np.array([tokens[r.source] / total for r in own]), np.array([r.target_share for r in own]), np.array([r.max_repeats * tokens[r.source] / size for r in own]))
+        for r, x in zip(own, w):
+            got = shares[mix, r.source]
+            assert got.available_tokens == tokens[r.source] and abs(got.budget_tokens - x * size) <= 1
+            assert got.deficit == pytest.approx(max(0, r.target_share * size - got.tokens))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import rank_by_unit
+from tidemark.operators.ranking import rank_by_unit, slices_for
 from tidemark.runtime import norm_split, staged, text_unit
 
 
@@ -66,7 +66,7 @@ def proportional_sample(datum: DataFrame, targets: DataFrame, seed: int = 1) ->
     short = staged(short, "p1-short")
     again = draw(short.withColumn("rate", F.lit(1.0)))
     first = accepted.join(short.select("plan_id", "label"), ["plan_id", "label"], "left_anti")
-    ranked = rank_by_unit(first.unionByName(again, allowMissingColumns=True), ["plan_id", "label"], "u", "datum_id")
+    ranked = rank_by_unit(first.unionByName(again, allowMissingColumns=True), ["plan_id", "label"], "u", "datum_id", buckets=slices_for(records.count()))
     sample = staged(ranked.where("rank <= quota").select("plan_id", "datum_id", "label"), "p1-sample")
     drawn = sample.groupBy("plan_id", "label").agg(F.count(F.lit(1)).alias("drawn"))
     report = quotas.join(drawn, ["plan_id", "label"], "left").select(
