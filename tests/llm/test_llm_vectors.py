@@ -69,10 +69,11 @@ def test_nearest_over_shards(spark):
     v = unit_vectors(df)
     asked = list(range(0, len(x), 10))
     q = v.where(F.col("id").isin(asked)).dropDuplicates(["id"]).select(F.col("id").alias("query_id"), "vec", F.lit(5).alias("k"))
-    got = neighbours.nearest(v, q, shard_rows=150)
-    found = {(r.query_id, r.id) for r in got.collect()}
     want = pairs_by_brute_force(unit(x), np.arange(len(x)), 5, asked)
-    assert len(found & want) / len(want) > 0.97 and len(found) == 5 * len(asked)
+    for options in ({"shard_rows": 60, "probed": 12}, {"shard_rows": 20, "sample_rows": 60, "probed": 64, "query_rows": 7}):
+        got = neighbours.nearest(v, q, **options).collect()
+        found = {(r.query_id, r.id) for r in got}
+        assert len(found & want) / len(want) > 0.95 and len(found) == len(got) == 5 * len(asked)
 
 
 def test_nearest_with_copies_and_few_rows(spark):
@@ -121,6 +122,48 @@ def test_pairs_meet_at_every_size(spark):
     assert all(got[i] == got[1200 + i] for i in range(1200)) and len(set(got.values())) == 1200
 
 
+def chains(rng, n, steps, similarity):
+    """Rows of vectors, each so similar to the one before and going its own way."""
+    out = []
+    for _ in range(n):
+        v = unit(rng.normal(size=(1, 64)))[0]
+        out.append(v)
+        for _ in range(steps - 1):
+            off = rng.normal(size=64)
+            off -= (off @ v) * v
+            v = similarity * v + np.sqrt(1 - similarity**2) * off / np.linalg.norm(off)
+            out.append(v)
+    return np.array(out, np.float32)
+
+
+@pytest.mark.parametrize("node_rows,block_leaves", [(100_000, 100_000), (40, 64)])
+def test_links_of_any_form_are_kept(spark, node_rows, block_leaves):
+    rng = np.random.default_rng(12)
+    wide = unit(rng.normal(size=(1, 64)) + rng.normal(0, 0.6, (60, 64)))  # a loose group whose members only touch
+    x = np.concatenate([chains(rng, 20, 6, 0.955), chains(rng, 10, 12, 0.85), chains(rng, 15, 4, 0.79), wide, unit(grouped(3, (60, 20, 5))[0])])
+    link = x @ x.T >= 0.78
+    group = np.arange(len(x))
+    while True:
+        new = np.array([group[link[i]].min() for i in range(len(x))])
+        if (new == group).all():
+            break
+        group = new
+    df = datum(spark, [(i, "train", 0, v) for i, v in enumerate(x)])
+    got = {r.id: r.group for r in clusters.similarity_groups(unit_vectors(df), node_rows=node_rows, sample_rows=100, block_leaves=block_leaves).collect()}
+    assert len({(got[i], group[i]) for i in range(len(x))}) == len(set(group.tolist())) == len(set(got.values()))
+
+
+def test_members_of_large_leaves_meet_in_chunks(spark):
+    rng = np.random.default_rng(13)
+    a = unit(rng.normal(size=64) + rng.normal(0, 0.3, (30, 64)))
+    b = unit(rng.normal(size=64) + rng.normal(0, 0.3, (25, 64)))
+    rows = [(1, 2, False, i, v.tobytes()) for i, v in enumerate(a)] + [(2, 1, False, 100 + i, v.tobytes()) for i, v in enumerate(b)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, sure boolean, id bigint, vec binary")
+    top = float((a @ b.T).max())
+    assert [tuple(r) for r in clusters._member_links(df, top - 1e-5, 8).collect()] == [(1, 2)]
+    assert clusters._member_links(df, top + 1e-3, 8).count() == 0
+
+
 def test_no_vectors(spark):
     assert clusters.similarity_groups(unit_vectors(datum(spark, []))).count() == 0
 
