@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from tidemark.runtime import staged
 
 NODE_ROWS = 32_768
 SAMPLE_ROWS = 65_536
+BLOCK_LEAVES = 65_536
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -50,38 +53,79 @@ def two_means(v: np.ndarray, rng: np.random.Generator, rounds: int = 4) -> np.nd
 def bisect(x: np.ndarray, compact: float, link: float, seed: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Split until every leaf is compact: leaf of each row, its similarity to the leaf's centre, the leaves' centres and pivots.
 
-    A leaf is compact if all its members are at least ``compact`` similar to
-    its centre and at least ``link`` similar to its pivot, the member nearest
-    to the centre; so its members belong together through the pivot alone.
+    The node of the largest dispersion (rows less the length of their sum) is
+    split next. A leaf is compact if all its members are at least ``compact``
+    similar to its centre and at least ``link`` similar to its pivot, the
+    member nearest to the centre; so its members belong together through the
+    pivot alone. In the end, leaves whose pivots are linked, directly or
+    through others, are one leaf if that is ``compact`` too: then a split only
+    cut it.
     """
     n = len(x)
     rng = np.random.default_rng(seed)
     order = np.arange(n)
     v = x.copy()
     leaf = np.empty(n, np.int64)
-    dots = np.empty(n, np.float32)
-    centres, pivots = [], []
-    stack = [(0, n)]
-    while stack:
-        lo, hi = stack.pop()
-        if lo == hi:
-            continue
+    pivots: list[int] = []
+    heap = [(0.0, 0, n)] if n else []
+    while heap:
+        _, lo, hi = heapq.heappop(heap)
         part = v[lo:hi]
         centre = _unit(part.sum(axis=0, dtype=np.float64))
         d = part @ centre
         top = int(d.argmax())
         if hi - lo == 1 or (d.min() >= compact and (part @ part[top]).min() >= link):
-            leaf[order[lo:hi]] = len(centres)
-            dots[order[lo:hi]] = d
-            centres.append(centre)
-            pivots.append(order[lo + top])
+            leaf[order[lo:hi]] = len(pivots)
+            pivots.append(int(order[lo + top]))
             continue
         side = two_means(part, rng)
         k = int((~side).sum())
         v[lo:hi] = np.concatenate([part[~side], part[side]])
         order[lo:hi] = np.concatenate([order[lo:hi][~side], order[lo:hi][side]])
-        stack += [(lo, lo + k), (lo + k, hi)]
-    return leaf, dots, np.array(centres, np.float32).reshape(-1, x.shape[1]), np.array(pivots, np.int64)
+        for a, b in ((lo, lo + k), (lo + k, hi)):
+            heapq.heappush(heap, (float(np.linalg.norm(v[a:b].sum(axis=0, dtype=np.float64))) - (b - a), a, b))
+    return _rejoined(x, leaf, np.array(pivots, np.int64), compact, link)
+
+
+def _linked_roots(p: np.ndarray, link: float) -> np.ndarray:
+    """For each row the first of those it is linked with, directly or through others."""
+    root = np.arange(len(p))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for s in range(0, len(p), 512):
+        i, j = np.nonzero(p[s : s + 512] @ p[s:].T >= link)
+        for a, b in zip((i[i < j] + s).tolist(), (j[i < j] + s).tolist()):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                root[max(ra, rb)] = min(ra, rb)
+    return np.array([find(a) for a in range(len(p))], np.int64)
+
+
+def _centres(x: np.ndarray, leaf: np.ndarray, leaves: int) -> np.ndarray:
+    order = np.argsort(leaf, kind="stable")
+    starts = np.searchsorted(leaf[order], np.arange(leaves))
+    return _unit(np.add.reduceat(x[order].astype(np.float64), starts, axis=0)) if leaves else np.zeros((0, x.shape[1]), np.float32)
+
+
+def _rejoined(x: np.ndarray, leaf: np.ndarray, pivots: np.ndarray, compact: float, link: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves that a split cut apart as one, with centres, similarities to them and pivots."""
+    whole = _linked_roots(x[pivots], link)
+    joint = whole[leaf]
+    _, joint = np.unique(joint, return_inverse=True)
+    n = int(joint.max(initial=-1)) + 1
+    least = np.full(n, 2.0, np.float32)
+    np.minimum.at(least, joint, np.einsum("ij,ij->i", x, _centres(x, joint, n)[joint]))
+    _, leaf = np.unique(np.where(least[joint] >= compact, joint, n + leaf), return_inverse=True)
+    n = int(leaf.max(initial=-1)) + 1
+    centres = _centres(x, leaf, n)
+    dots = np.einsum("ij,ij->i", x, centres[leaf]) if len(x) else np.zeros(0, np.float32)
+    best = np.lexsort((-dots, leaf))
+    return leaf, dots.astype(np.float32), centres, best[np.searchsorted(leaf[best], np.arange(n))]
 
 
 class SplitTree:
@@ -194,7 +238,7 @@ def _leaf_stats(vectors: DataFrame, tree: SplitTree, centres: np.ndarray | None,
     return {r.leaf: (r.n, r.core, np.frombuffer(r.total, np.float64), np.frombuffer(r.pivot, np.float32), r.pivot_id) for r in rows}
 
 
-MEMBER = "id bigint, leaf bigint, dot float, centre binary, pivot binary"
+MEMBER = "id bigint, vec binary, leaf bigint, dot float, centre binary, reach float"
 
 
 def _bisect_group(group: pa.Table, compact: float, link: float) -> pa.Table:
@@ -202,30 +246,40 @@ def _bisect_group(group: pa.Table, compact: float, link: float) -> pa.Table:
     o = np.argsort(ids, kind="stable")
     ids, x = ids[o], from_binary(group.column("vec"))[o]
     leaf, dots, centres, pivots = bisect(x, compact, link)
+    least = np.full(len(pivots), 2.0, np.float32)
+    np.minimum.at(least, leaf, dots)
     centre: list[bytes | None] = [None] * len(ids)
-    pivot: list[bytes | None] = [None] * len(ids)
+    reach = np.full(len(ids), np.nan, np.float32)
+    reach[pivots] = least
     for c, p in zip(centres, pivots):
-        centre[p], pivot[p] = c.tobytes(), x[p].tobytes()
-    return pa.table({"id": ids, "leaf": ids[pivots][leaf], "dot": pa.array(dots, pa.float32()), "centre": pa.array(centre, pa.binary()), "pivot": pa.array(pivot, pa.binary())})
+        centre[p] = c.tobytes()
+    return pa.table({"id": ids, "vec": to_binary(x), "leaf": ids[pivots][leaf], "dot": pa.array(dots, pa.float32()), "centre": pa.array(centre, pa.binary()), "reach": pa.array(reach, mask=np.isnan(reach))})
 
 
 def compact_leaves(vectors: DataFrame, link: float, compact: float, node_rows: int, sample_rows: int, seed: int) -> list[DataFrame]:
-    """Tables of members ``(id, leaf, dot, centre, pivot)`` that together hold every vector once.
-
-    A leaf's key is the id of its pivot; centre and pivot stand in the pivot's
-    row only. Rounds over the cluster split nodes of more than ``node_rows``
-    vectors: a bounded sample proposes splits, all rows correct their centres
-    and measure their leaves. A leaf too large for a task is finished where it
-    lies if it is compact: rows near its centre and linked to its pivot stay
-    together without being moved, the others go on. The rest is bisected to the
-    end in one task a node.
+    """Tables of members ``(id, vec, leaf, dot, centre, reach)`` that together hold every vector once.
+
+    A leaf's key is the id of its pivot; its centre, and the least similarity
+    to it that a member has (``reach``), stand in the pivot's row only. Rounds
+    over the cluster split nodes of more than ``node_rows`` vectors: a bounded
+    sample proposes splits, all rows correct their centres and measure their
+    leaves. A leaf too large for a task is finished where it lies if it is
+    compact: rows near its centre and linked to its pivot stay together without
+    being moved, the others go on. The rest is bisected to the end in one task
+    a node. Where a round leaves nearly all rows open, as splits by the sample
+    don't part them, the next nodes are cut by a hash; what that parts is joined
+    by the links of leaves as everything else is.
     """
     out: list[DataFrame] = []
+
+    def finish(nodes: DataFrame) -> None:
+        out.append(nodes.groupBy("node").applyInArrow(lambda g: _bisect_group(g, compact, link), MEMBER))
+
     rest, total, level = vectors, vectors.count(), 0
     while total > node_rows:
-        rate = min(1.0, 1.1 * sample_rows / total)
-        picked = rest.where(F.expr(f"pmod(xxhash64(id, {seed + level}), 1000003) < {rate} * 1000003")).select("vec").limit(2 * sample_rows)
-        sample = from_binary(picked.toArrow().column("vec"))  # bounded by sample_rows
+        rate = min(1.0, sample_rows / total)
+        picked = rest.where(F.expr(f"pmod(xxhash64(id, {seed + level}), 1000003) < {rate} * 1000003")).select("vec")
+        sample = from_binary(picked.toArrow().column("vec"))  # about ``sample_rows``, since ids are distinct
         most = max(48, int(len(sample) * 0.6 * node_rows / total))
         tree = SplitTree(sample, most, compact, seed + level)
         stats = _leaf_stats(rest, tree, None, compact)
@@ -243,16 +297,17 @@ def compact_leaves(vectors: DataFrame, link: float, compact: float, node_rows: i
             if n > node_rows:
                 state[k] = 1 if 2 * core >= n else 2
         routed = staged(_route(rest, tree, centres, pivots, pivot_ids, state, compact, link), f"p6-routed{level}")
-        out.append(routed.where("leaf is not null").select("id", "leaf", "dot", F.when(F.col("id") == F.col("leaf"), F.col("centre")).alias("centre"), F.when(F.col("id") == F.col("leaf"), F.col("vec")).alias("pivot")))
-        local = routed.where("node is not null").select("node", "id", "vec")
-        out.append(local.groupBy("node").applyInArrow(lambda g: _bisect_group(g, compact, link), MEMBER))
+        is_pivot = F.col("id") == F.col("leaf")
+        out.append(routed.where("leaf is not null").select("id", "vec", "leaf", "dot", F.when(is_pivot, F.col("centre")).alias("centre"), F.when(is_pivot, F.least("dot", F.lit(compact))).cast("float").alias("reach")))
+        finish(routed.where("node is not null").select("node", "id", "vec"))
         rest = routed.where("leaf is null and node is null").select("id", "vec")
         left = rest.count()
-        if left >= total:  # nothing got smaller: can only be if all is open; cut blindly by another sample
-            sample_rows *= 2
+        if left > 0.9 * total:
+            finish(rest.select(F.pmod(F.xxhash64("id"), F.lit(-(-2 * left // node_rows))).alias("node"), "id", "vec"))
+            return out
         total, level = left, level + 1
     if total:
-        out.append(rest.select(F.lit(0).alias("node"), "id", "vec").groupBy("node").applyInArrow(lambda g: _bisect_group(g, compact, link), MEMBER))
+        finish(rest.select(F.lit(0).alias("node"), "id", "vec"))
     return out
 
 
@@ -276,12 +331,22 @@ def _route(vectors: DataFrame, tree: SplitTree, centres: np.ndarray, pivots: np.
     return vectors.select("id", "vec").mapInArrow(run, "id bigint, vec binary, node bigint, leaf bigint, dot float, centre binary")
 
 
-def _links_of_blocks(group: pa.Table, near: float, link: float) -> pa.Table:
-    """Links between leaves of two blocks, or within one: (leaf, root) of sure ones, pairs still to be checked by members."""
+def _links_of_blocks(group: pa.Table, link: float) -> pa.Table:
+    """Pairs of leaves of two blocks, or of one, that may be linked: (leaf, root) of sure ones, the others to be tested by members.
+
+    Members of two leaves can be linked only if the angle between the centres
+    is at most the sum of the leaves' own and the link's. With half the link's
+    added to each leaf's, that is one product of extended centres.
+    """
     keys, second = group.column("leaf").to_numpy(), group.column("second").to_numpy(zero_copy_only=False)
     o = np.lexsort((keys, second))
     keys, second = keys[o], second[o]
     c, p = from_binary(group.column("centre"))[o], from_binary(group.column("pivot"))[o]
+    wide = np.arccos(np.clip(group.column("reach").to_numpy()[o].astype(np.float64), -1, 1)) + (np.arccos(link) + 1e-4) / 2
+    c = np.where(wide[:, None] > np.pi / 2, np.float32(0), c)  # so wide a leaf meets everything
+    wide = np.minimum(wide, np.pi / 2)
+    cos, sin = np.cos(wide).astype(np.float32)[:, None], np.sin(wide).astype(np.float32)[:, None]
+    one, other = np.concatenate([c, -cos, sin], axis=1), np.concatenate([c, cos, sin], axis=1)
     n = len(keys)
     first = int((~second).sum())  # of the rows of one block, the rest are the other's; all are if there is only one
     root = np.arange(n)
@@ -296,7 +361,7 @@ def _links_of_blocks(group: pa.Table, near: float, link: float) -> pa.Table:
     for s in range(0, first, 512):
         end = min(s + 512, first)
         for t in range(s if first == n else first, n, 16_384):
-            i, j = np.nonzero(c[s:end] @ c[t : t + 16_384].T >= near)
+            i, j = np.nonzero(one[s:end] @ other[t : t + 16_384].T >= -1e-5)
             i, j = i + s, j + t
             i, j = i[i < j], j[i < j]
             sure = np.einsum("ij,ij->i", p[i], p[j]) >= link
@@ -306,7 +371,7 @@ def _links_of_blocks(group: pa.Table, near: float, link: float) -> pa.Table:
                     root[max(ra, rb)] = min(ra, rb)
             open_a.append(i[~sure])
             open_b.append(j[~sure])
-    roots = np.array([find(a) for a in range(n)])
+    roots = np.array([find(a) for a in range(n)], np.int64)
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (open_a, open_b))
     apart = roots[a] != roots[b]
     a, b = a[apart], b[apart]
@@ -314,49 +379,141 @@ def _links_of_blocks(group: pa.Table, near: float, link: float) -> pa.Table:
     return pa.table({"a": np.concatenate([keys[moved], keys[a]]), "b": np.concatenate([keys[roots[moved]], keys[b]]), "sure": np.concatenate([np.ones(len(moved), bool), np.zeros(len(a), bool)])})
 
 
-def _leaf_links(leaves: DataFrame, members: DataFrame, vectors: DataFrame, near: float, link: float, node_rows: int) -> DataFrame:
-    """Links ``(a, b)`` between leaves of one group that a split has cut apart.
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` and further columns whose leaves the links so far don't connect."""
+    roots = staged(connected_components(links), "p6-roots")
+    for side in ("a", "b"):
+        root = roots.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root"))
+        pairs = pairs.join(root, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    return pairs.where("a_root <> b_root").drop("a_root", "b_root")
 
-    Leaves whose centres are ``near`` are candidates. All centres are compared:
-    they lie in blocks of about ``node_rows``, and each pair of blocks meets in
-    one task, so the work grows with the square of the leaves. A candidate is
-    a link if the pivots are linked, or a member of either with the other's
-    pivot.
+
+def _reaching(members: DataFrame, pairs: DataFrame, leaves: DataFrame, link: float, chunk: int) -> DataFrame:
+    """For pairs ``a, b`` in both directions: the members of ``a`` that a member of ``b`` may be linked with, or that ``sure`` its pivot is.
+
+    A member reaches a leaf if the angle to its centre is at most the leaf's
+    own and the link's. Members meet the centres their leaf is to be tested
+    against in buckets of about ``chunk`` members; a larger leaf is spread over
+    several, each with all its centres.
     """
-    blocks = max(1, -(-leaves.count() // node_rows))
+    asked = pairs.select("a").distinct()
+    mine = members.join(asked, members.leaf == asked.a, "left_semi").select("leaf", "id", "vec")
+    sizes = mine.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
+    sizes = staged(sizes, "p6-asked")
+    buckets = max(1, -(-(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // chunk))
+
+    def bucket(leaf: str, part: str):
+        return F.pmod(F.xxhash64(leaf, part), F.lit(buckets)).cast("int").alias("bucket")
+
+    spread = mine.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = spread.select(bucket("leaf", "part"), F.col("leaf").alias("a"), "part", "id", "vec")
+    seen = leaves.select(F.col("leaf").alias("b"), "centre", F.col("pivot"), "reach")
+    right = pairs.select("a", "b").join(seen, "b").join(sizes.select(F.col("leaf").alias("a"), "parts"), "a")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(bucket("a", "part"), "a", "part", "b", "centre", "pivot", "reach")
+
+    def run(members: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        keys = [np.stack([t.column("a").to_numpy(), t.column("part").to_numpy()], axis=1) for t in (members, asked)]
+        orders = [np.lexsort(k.T[::-1]) for k in keys]
+        x, ids = from_binary(members.column("vec"))[orders[0]], members.column("id").to_numpy()[orders[0]]
+        c, p = from_binary(asked.column("centre"))[orders[1]], from_binary(asked.column("pivot"))[orders[1]]
+        b = asked.column("b").to_numpy()[orders[1]]
+        wide = np.arccos(np.clip(asked.column("reach").to_numpy()[orders[1]].astype(np.float64), -1, 1)) + np.arccos(link) + 1e-4
+        least = np.cos(np.minimum(wide, np.pi)).astype(np.float32)
+        sorted_keys = [[tuple(r) for r in k[o].tolist()] for k, o in zip(keys, orders)]
+        places: dict[tuple, list[int]] = {}
+        for side, rows in enumerate(sorted_keys):
+            for at, k in enumerate(rows):
+                e = places.setdefault(k, [-1, -1, -1, -1])
+                if e[2 * side] < 0:
+                    e[2 * side] = at
+                e[2 * side + 1] = at + 1
+        for (a, _), (m0, m1, q0, q1) in places.items():
+            if m0 < 0 or q0 < 0:
+                continue
+            for s in range(q0, q1, 2048):
+                e = min(s + 2048, q1)
+                sure = (x[m0:m1] @ p[s:e].T >= link).any(axis=0)
+                r, q = np.nonzero((x[m0:m1] @ c[s:e].T >= least[s:e]) & ~sure)
+                hit = np.flatnonzero(sure)
+                n, k = len(hit), len(r)
+                out.append(pa.table({
+                    "a": np.full(n + k, a), "b": np.concatenate([b[s + hit], b[s + q]]), "sure": np.concatenate([np.ones(n, bool), np.zeros(k, bool)]),
+                    "id": pa.array(np.concatenate([np.zeros(n, np.int64), ids[m0 + r]]), pa.int64()), "vec": pa.concat_arrays([pa.nulls(n, pa.binary()), to_binary(x[m0 + r])]),
+                }))
+        return pa.concat_tables(out) if out else REACHING.empty_table()
+
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, "a bigint, b bigint, sure boolean, id bigint, vec binary")
+
+
+REACHING = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_()), ("id", pa.int64()), ("vec", pa.binary())])
+
+
+def _member_links(reaching: DataFrame, link: float, chunk: int) -> DataFrame:
+    """Pairs ``a, b`` of which a member is linked with a member, by all that reach each other's leaf; large sides in chunks."""
+    low = F.least("a", "b")
+    rows = reaching.where("not sure").select(low.alias("x"), F.greatest("a", "b").alias("y"), (F.col("a") == low).alias("first"), "id", "vec")
+    sizes = rows.groupBy("x", "y").agg(F.ceil(F.count_if("first") / chunk).cast("int").alias("n"), F.ceil(F.count_if(~F.col("first")) / chunk).cast("int").alias("m")).where("n > 0 and m > 0")
+    rows = rows.join(sizes, ["x", "y"])
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("n")).otherwise(F.col("m"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("meets", F.explode(F.sequence(F.lit(0), F.when(F.col("first"), F.col("m")).otherwise(F.col("n")) - 1)))
+    rows = rows.select("x", "y", "first", F.when(F.col("first"), F.col("own")).otherwise(F.col("meets")).alias("i"), F.when(F.col("first"), F.col("meets")).otherwise(F.col("own")).alias("j"), "vec")
+
+    def run(group: pa.Table) -> pa.Table:
+        first, v = group.column("first").to_numpy(zero_copy_only=False), from_binary(group.column("vec"))
+        p, q = v[first], v[~first]
+        hit = any((p[s : s + 1024] @ q.T >= link).any() for s in range(0, len(p), 1024)) if len(q) else False
+        return pa.table({"a": group.column("x").slice(0, int(hit)), "b": group.column("y").slice(0, int(hit))})
+
+    return rows.groupBy("x", "y", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _leaf_links(leaves: DataFrame, members: DataFrame, link: float, block_leaves: int, chunk: int) -> DataFrame:
+    """All links ``(a, b)`` that connect leaves of one group.
+
+    Candidates come from the bound on the angle between centres
+    (:func:`_links_of_blocks`), so none is left out. Blocks of leaves meet in
+    pairs; the work grows with the square of the leaves, whose number grows
+    with the groups, not with the rows. Candidates whose pivots aren't linked
+    and which others don't connect already are decided by members: first those
+    of one leaf against the other's pivot and reach, then the members that
+    reach each other's leaf against each other.
+    """
+    n = leaves.count()
+    blocks = max(1, -(-n // block_leaves), min(4, n // 4096))
     mine = F.pmod(F.xxhash64("leaf"), F.lit(blocks)).cast("int")
-    placed = leaves.select("leaf", "centre", "pivot", mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    paired = placed.select("leaf", "centre", "pivot", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
-    pairs = paired.groupBy("x", "y").applyInArrow(lambda g: _links_of_blocks(g, near, link), "a bigint, b bigint, sure boolean")
+    placed = leaves.select("leaf", "centre", "pivot", "reach", mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    paired = placed.select("leaf", "centre", "pivot", "reach", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
+    pairs = paired.groupBy("x", "y").applyInArrow(lambda g: _links_of_blocks(g, link), "a bigint, b bigint, sure boolean")
     pairs = staged(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "p6-pairs")
-    unsure = pairs.where("not sure")
-    both = unsure.select("a", "b").unionByName(unsure.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pivots = leaves.select(F.col("leaf").alias("b"), F.col("pivot").alias("other"))
-    tested = both.join(pivots, "b").join(members.select("id", F.col("leaf").alias("a")), "a").join(vectors, "id")
-
-    def linked(batches):
-        for t in batches:
-            hit = np.einsum("ij,ij->i", from_binary(t.column(2)), from_binary(t.column(3))) >= link
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(hit))
-
-    more = tested.select("a", "b", "vec", "other").mapInArrow(linked, "a bigint, b bigint").distinct()
-    return pairs.where("sure").select("a", "b").unionByName(more)
-
-
-def similarity_groups(vectors: DataFrame, link: float = 0.78, compact: float = 0.89, near: float = 0.7, node_rows: int = NODE_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 6) -> DataFrame:
+    links = pairs.where("sure").select("a", "b")
+    unsure = staged(_apart(pairs.where("not sure").select("a", "b"), links), "p6-unsure")
+    if unsure.isEmpty():
+        return links
+    both = unsure.unionByName(unsure.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    reaching = staged(_reaching(members, both, leaves, link, chunk), "p6-reaching")
+    links = links.unionByName(reaching.where("sure").select("a", "b").distinct())
+    rest = reaching.where("not sure")
+    if rest.isEmpty():
+        return links
+    return links.unionByName(_member_links(_apart(rest, links), link, chunk))
+
+
+def similarity_groups(vectors: DataFrame, link: float = 0.78, compact: float = 0.89, node_rows: int = NODE_ROWS, sample_rows: int = SAMPLE_ROWS, block_leaves: int = BLOCK_LEAVES, seed: int = 6) -> DataFrame:
     """``id, leaf, dot, group``: every vector's leaf and group, by bisecting k-means.
 
     ``vectors(id, vec)`` holds packed unit vectors. Nodes are split in two,
-    level by level, until each leaf is compact (see :func:`bisect`); leaves
-    that one group was cut into are joined again where members are at least
-    ``link`` similar. ``group`` is the smallest leaf key of the group, ``dot``
-    the similarity to the leaf's centre.
-
-    Groups are those of the relation "similarity of at least ``link``", if they
-    are compact (their leaves' centres at least ``near`` similar) and lie apart
-    (others' centres less). All rows are used, also for the centres; samples
-    only propose splits. Repeated ids count once; equal vectors share a leaf.
-    An empty table gives no rows.
+    largest dispersion first, until each leaf is compact (see :func:`bisect`);
+    leaves that one group was cut into are joined again where members are at
+    least ``link`` similar (:func:`_leaf_links`). ``group`` is the smallest leaf
+    key of the group, ``dot`` the similarity to the leaf's centre.
+
+    Groups are exactly those of the relation "similarity of at least ``link``,
+    directly or through others" (in 32-bit arithmetic), whatever their form and
+    ``node_rows``; for groups that are compact and lie apart few leaves come
+    near each other and it is cheap. All rows are used, also for the centres;
+    samples only propose splits. Repeated ids count once; equal vectors share a
+    leaf. An empty table gives no rows.
     """
     v = staged(vectors.select("id", "vec").dropDuplicates(["id"]), "p6-vectors")
     parts = compact_leaves(v, link, compact, node_rows, sample_rows, seed)
@@ -366,8 +523,8 @@ def similarity_groups(vectors: DataFrame, link: float = 0.78, compact: float = 0
     for p in parts[1:]:
         members = members.unionByName(p)
     members = staged(members, "p6-members")
-    leaves = members.where("id = leaf").select("leaf", "centre", "pivot")
-    links = _leaf_links(leaves, members, v, near, link, node_rows)
+    leaves = members.where("id = leaf").select("leaf", "centre", F.col("vec").alias("pivot"), "reach")
+    links = _leaf_links(leaves, members, link, block_leaves, node_rows // 2)
     roots = connected_components(links, "a", "b").select(F.col("node").alias("leaf"), F.col("component"))
     return members.select("id", "leaf", "dot").join(roots, "leaf", "left").select("id", "leaf", "dot", F.coalesce("component", "leaf").alias("group"))
 
