@@ -13,7 +13,7 @@ from tidemark.llm.graph import nearest_in_shard
 from tidemark.llm.vectors import from_binary
 from tidemark.runtime import staged
 
-SHARD_ROWS, PROBED, SAMPLE_ROWS, QUERY_ROWS = 8192, 16, 65_536, 16_384
+SHARD_ROWS, PROBED, SAMPLE_ROWS, QUERY_ROWS = 8192, 32, 65_536, 16_384
 
 
 def shard_centres(vectors: DataFrame, rows: int, shard_rows: int, sample_rows: int, seed: int) -> np.ndarray:
