@@ -10,7 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import rows
 
-from tidemark.operators.consolidate import BrokenData, concatenate_files, consolidate_records, distinct_stored, joinable, read_consolidated, verify_parts
+from pyspark.sql import functions as F
+
+from tidemark.operators.consolidate import BrokenData, concatenate_files, consolidate_records, joinable, read_consolidated, stored_frames, superfluous, verify_parts, without_superfluous
 from tidemark.sources import formats as Fm
 from tidemark.sources.frames import frame_ends, pack_record, unpack_records
 
@@ -119,6 +121,9 @@ def test_joinable_lines():
     assert joinable(b"\xef\xbb\xbfa,b\n1,2", "lines", b"a,b") == b"1,2\n"
     assert joinable(b"", "lines", None) == b"" and joinable(b"x\n", "lines", b"h") == b"x\n"
     assert joinable(b"a,b", "lines", b"a,b") == b""
+    assert joinable(b"\xef\xbb\xbfa,b\r\n1,2\r\n", "lines", b"a,b") == b"1,2\r\n"
+    assert joinable(b"a,bc\n1,2", "lines", b"a,b") == b"a,bc\n1,2\n"
+    assert joinable(b"\xef\xbb\xbf", "lines", None) == b""
 
 
 @pytest.mark.parametrize("kind", ["lines", "zstd"])
@@ -176,7 +181,27 @@ def test_consolidated_records(spark, tmp_path):
         read_consolidated(manifest, out).collect()
 
 
+def test_only_files_with_superfluous_records_are_decoded(spark, tmp_path):
+    files = spark.createDataFrame([(f, "a", "p", 1, 1, None, "x") for f in range(30)], FILE)
+    data = [(f, i, f"k{f}-{i}", None, bytearray(b"body %d %d" % (f, i)), "p") for f in range(30) for i in range(20)]
+    data += [(7, 100, "k3-4", 1, bytearray(b"body 3 4"), "p"), (9, 5, "k9-5", 0, bytearray(b"body 9 5"), "p"), (11, 6, "other", 0, bytearray(b"at the same place"), "p")]
+    records = spark.createDataFrame(data, RECORD)
+    frames = stored_frames(records, 200).persist()
+    clean = without_superfluous(frames, superfluous(records, files), files).collect()
+    decoded = {r.source: 0 for r in clean}
+    for r in clean:
+        decoded[r.source] += r.decoded
+    assert {k for k, v in decoded.items() if v} == {"7", "9"} and sum(decoded.values()) == 41  # and one in a frame of which nothing is left
+    before = {(str(r.file_id), r.piece): bytes(r.body) for r in frames.collect()}
+    assert all(bytes(r.body) == before[r.source, r.piece] for r in clean if r.source not in ("7", "9"))
+    again = records.where("file_id = 4").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9)))).drop("copy")
+    manifest, out = consolidate_records(records.unionByName(again), files, str(tmp_path / "out"), target=2000, frame_bytes=200)
+    got = sorted((r.file_id, r.rec_no, bytes(r.data)) for r in read_consolidated(manifest, out).collect())
+    assert got == sorted({(f, i, bytes(d)) for f, i, _, _, d, _ in data if (f, i) != (7, 100)})
+    assert {r.label for r in read_consolidated(manifest, out).where("file_id = 9 and rec_no = 5").collect()} == {None}
+
+
 def test_nothing_to_consolidate(spark, tmp_path):
     manifest, out = consolidate_records(spark.createDataFrame([], RECORD), spark.createDataFrame([], FILE), str(tmp_path / "o"))
     assert manifest.count() == 0 and read_consolidated(manifest, out).count() == 0
-    assert distinct_stored(spark.createDataFrame([], RECORD), spark.createDataFrame([], FILE)).count() == 0
+    assert superfluous(spark.createDataFrame([], RECORD), spark.createDataFrame([], FILE)).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 
 import zstandard
@@ -18,40 +19,53 @@ class BrokenData(ValueError):
     """Bytes that are not what their index or format says."""
 
 
-def frame_ends(data: bytes) -> list[int]:
-    """End of each complete frame in ``data``, by the frames' own headers; nothing is decompressed.
-
-    Raises :class:`BrokenData` if the bytes are not a whole number of frames.
-    """
-    out, at, n = [], 0, len(data)
-    while at < n:
-        if n - at < 8:
-            raise BrokenData(f"{n - at} stray bytes at {at}")
-        magic = int.from_bytes(data[at : at + 4], "little")
+def _frames(handle, size: int):
+    """End of each complete frame of a seekable file of ``size`` bytes, by the frames' own headers; only these are read."""
+
+    def read(at: int, n: int) -> bytes:
+        handle.seek(at)
+        return handle.read(n)
+
+    at = 0
+    while at < size:
+        if size - at < 8:
+            raise BrokenData(f"{size - at} stray bytes at {at}")
+        head = read(at, 18)
+        magic = int.from_bytes(head[:4], "little")
         if magic in SKIPPABLE:
-            at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+            at += 8 + int.from_bytes(head[4:8], "little")
         elif magic == MAGIC:
             try:
-                checked = zstandard.get_frame_parameters(data[at : at + 18]).has_checksum
-                at += zstandard.frame_header_size(data[at : at + 18])
+                checked = zstandard.get_frame_parameters(head).has_checksum
+                at += zstandard.frame_header_size(head)
             except zstandard.ZstdError as e:
                 raise BrokenData(f"frame header at {at}: {e}") from e
             last = False
             while not last:
-                if n - at < 3:
+                if size - at < 3:
                     raise BrokenData(f"frame cut off at {at}")
-                block = int.from_bytes(data[at : at + 3], "little")
-                last, kind, size = bool(block & 1), block >> 1 & 3, block >> 3
+                block = int.from_bytes(read(at, 3), "little")
+                last, kind, length = bool(block & 1), block >> 1 & 3, block >> 3
                 if kind == 3:
                     raise BrokenData(f"block of unknown kind at {at}")
-                at += 3 + (1 if kind == 1 else size)
+                at += 3 + (1 if kind == 1 else length)
             at += 4 * checked
         else:
             raise BrokenData(f"no frame begins at {at}")
-        if at > n:
-            raise BrokenData(f"frame cut off at {n}")
-        out.append(at)
-    return out
+        if at > size:
+            raise BrokenData(f"frame cut off at {size}")
+        yield at
+
+
+def frame_ends(data: bytes) -> list[int]:
+    """End of each complete frame in ``data``; raises :class:`BrokenData` if the bytes are not a whole number of frames."""
+    return list(_frames(io.BytesIO(data), len(data)))
+
+
+def check_frames(handle, size: int) -> None:
+    """Raises :class:`BrokenData` unless a seekable file of ``size`` bytes is a whole number of frames; nothing is held or decompressed."""
+    for _ in _frames(handle, size):
+        pass
 
 
 def pack_record(file_id: int, rec_no: int, label: int | None, key: str | None, data: bytes | None) -> bytes:
