@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import bpe, garbled, tokens
+from tidemark.llm import bpe, ciphers, garbled, tokens
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id bigint, text string, source string, ids string, n_tokens int, stretch string, swaps string"
@@ -138,7 +138,7 @@ POLISH = ["Usuwa żółte skrzynki jeśli waga się różni", "Zwraca część w
 
 
 def wrong(text, written, read):
-    page = garbled.signs(read)
+    page = ciphers.page_signs(read)
     return "".join(page[b] for b in text.encode(written))
 
 
@@ -175,6 +175,42 @@ def test_garbled_texts(spark, corpus):
     assert twice.count() == 2
 
 
+def test_unknown_pages_are_learned(spark, corpus):
+    sound, _, fine = corpus
+    cases = {"cp855<cp1252": (RUSSIAN, "cp855", "cp1252"), "iso8859_5<latin_1": (RUSSIAN, "iso8859_5", "latin_1"), "cp1257<cp1252": (POLISH, "cp1257", "cp1252")}
+    bad = [f"x = {i}\n# " + "\n# ".join(wrong(line, written, read) for line in lines) + "\n" for i, (lines, written, read) in enumerate(cases.values())]
+    texts = sound + [(t, "a") for t in bad] + [(t, "b") for t in fine]
+    got = {r.doc_id: r for r in garbled.garbled_documents(docs(spark, texts)).collect()}
+    assert sorted(got) == list(range(len(sound), len(sound) + len(bad)))
+    for (lines, *_), r in zip(cases.values(), (got[i] for i in sorted(got))):
+        assert all(line in r.restored for line in lines) and r.complete, r.swap
+
+
+def test_a_sign_moves_to_the_letter_its_contexts_show():
+    lines = RUSSIAN + ["Если очередь не пуста, проверяет её снова", "Склад открыт пока не убрана последняя коробка", "Порядок поставок важен для каждой новой смены"]
+    counts: dict = {}
+    for line in lines * 3:
+        for lo, hi, *_ in garbled.stretches(line):
+            for p in garbled.pairs_of(line[lo:hi]):
+                counts[p] = counts.get(p, 0.0) + 1.0
+    bigrams = garbled.Bigrams(counts)
+    page = list(ciphers.page_signs("cp1251"))
+    a, b, c = (page.index(x) for x in "оеа")  # an encoding that nobody knows: three letters have changed places
+    page[a], page[b], page[c] = page[b], page[c], page[a]
+    spoilt = [line.translate({ord(x): ciphers.page_signs("cp1252")[i] for i, x in enumerate(page) if i >= 128}) for line in lines]
+    scores = ciphers.PageScores(bigrams)
+    p = ciphers.pages()
+    found = [ciphers.Cipher(p.index("cp1251"), p.index("cp1252"))]
+    for _ in range(3):
+        into: Counter = Counter()
+        for line in spoilt:
+            for lo, hi, *_ in garbled.stretches(line):
+                ciphers.expected_contexts(line[lo:hi], 1.0, bigrams.score(line[lo:hi]), found, bigrams, into, "a")
+        found = ciphers.moved(found, {k[1:]: n for k, n in into.items()}, scores)
+    assert len(found[0].moves) >= 3
+    assert [found[0].read_back(line) for line in spoilt] == lines
+
+
 def test_no_texts(spark):
     assert garbled.garbled_documents(docs(spark, [])).count() == 0
     assert garbled.garbled_documents(docs(spark, [("plain", "a"), (None, None)])).count() == 0

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.ciphers import ENOUGH, POOR, Cipher, PageScores, best_starts, expected_contexts, moved, odds_of
 from tidemark.runtime import staged
 
 # Code pages that a text may wrongly be read in (all bytes get a sign).
@@ -214,6 +215,7 @@ class SwapModel:
         for (source, _), n in priors.items():
             totals[source] += n
         self.prior = {k: math.log((n + 0.01) / (totals[k[0]] + 1.0)) for k, n in priors.items()}
+        self.ciphers: dict[str, list[Cipher]] = {}
 
     def weight(self, source: str, swap: str) -> float:
         """Log share of a swap among a source's stretches; never below what is granted before any was seen."""
@@ -304,9 +306,70 @@ def learn_swaps(documents: DataFrame, rounds: int = 3) -> SwapModel:
     model = None
     for _ in range(rounds):
         model = _step(rows, model)
+    model.ciphers = learn_ciphers(rows, model)
     return model
 
 
+def _own_score(s: str, model: SwapModel) -> float:
+    return model.bigrams.score_without(s) + CONTROL * sum("\x80" <= c < "\xa0" for c in s)
+
+
+def learn_ciphers(rows: DataFrame, model: SwapModel, rounds: int = 2) -> dict[str, list[Cipher]]:
+    """Per source the substitutions of signs that its unlikely stretches went through, by expectation-maximisation.
+
+    Any one-byte encoding may have been read as any other: such a swap is a
+    substitution cipher. Stretches that the language model finds unlikely, and
+    which aren't UTF-8 read wrongly, are weighed under all pairs of pages,
+    against the best of what they are and what known swaps make of them; pairs that a source's stretches bear out
+    together are where its ciphers start. Then each round takes the expected
+    neighbours of every sign, by the ciphers' shares in each stretch, and moves
+    a sign to the letter that fits them best, so a source's own encoding need
+    not be one that is known. Rows of all sources take part; what comes to the
+    driver are sums per source and pair of pages, and per sign and neighbours
+    of the ciphers found.
+    """
+    low = rows.where("stretch not like '%\ufffd%'")
+
+    def unlikely(batches):
+        for b in batches:
+            for source, s, n, swaps, texts in zip(*[c.to_pylist() for c in b.columns]):
+                own = _own_score(s, model)
+                if own < POOR * (len(s) + 1):
+                    scores = [(model.bigrams.score(r), h) for h, r in zip(swaps, texts)]
+                    if not any(v > own and h.startswith("utf_8") for v, h in scores):
+                        yield source, s, n, max([own, *[v for v, _ in scores]])
+
+    def weigh(batches):
+        scores, found = None, Counter()
+        for source, s, _, own in unlikely(batches):
+            scores = scores or PageScores(model.bigrams)
+            for (written, read), gain in odds_of(s, own, scores).items():
+                found[source, written, read] += gain
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *[pa.array([k[i] for k in keys], pa.int32()) for i in (1, 2)], pa.array(list(found.values()), pa.float64())], ["source", "written", "read", "gain"])
+
+    evidence = low.mapInArrow(weigh, "source string, written int, read int, gain double").groupBy("source", "written", "read").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= ENOUGH)
+    ciphers = best_starts({(r.source, r.written, r.read): r.gain for r in evidence.toLocalIterator()})
+    for _ in range(rounds if ciphers else 0):
+
+        def expect(batches, ciphers=ciphers):
+            counts: Counter = Counter()
+            for source, s, n, own in unlikely(batches):
+                if source in ciphers:
+                    expected_contexts(s, 1.0 + math.log(n), own, ciphers[source], model.bigrams, counts, source)
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))] + [pa.array(list(counts.values()), pa.float64())], ["source", "cipher", "sign", "before", "after", "n"])
+
+        by = ["source", "cipher", "sign", "before", "after"]
+        sums = low.mapInArrow(expect, "source string, cipher int, sign string, before string, after string, n double").groupBy(*by).agg(F.sum("n").alias("n"))
+        counts: dict[str, dict] = defaultdict(dict)
+        for r in sums.toLocalIterator():
+            counts[r.source][r.cipher, r.sign, r.before, r.after] = r.n
+        scores = PageScores(model.bigrams)
+        ciphers = {source: moved(c, counts[source], scores) for source, c in ciphers.items()}
+    return ciphers
+
+
 def _quoted(text: str, lo: int, hi: int) -> bool:
     """Whether a part of a line stands between quotes."""
     before = text[text.rfind("\n", 0, lo) + 1 : lo]
@@ -363,6 +426,7 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
     the text's stretches give together.
     """
     hits = []
+    shown: set[str] = set()
     seen: set[str] = set()
     swaps: set[str] = set()
     evidence: dict[str, float] = defaultdict(float)
@@ -383,6 +447,7 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
         best = gains[0][2]
         core = best[a - lo : len(best) - (hi - b)] if hi - b else best[a - lo :]
         if core and core in around:
+            shown.add(s)
             continue
         hits.append((lo, hi, gains, known))
         if gains[0][0] > 0 and gains[0][1].startswith("utf_8"):
@@ -397,6 +462,10 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
     cause = max(evidence, key=lambda h: (evidence[h], model.weight(source, h), h), default=None)
     if cause is not None and evidence[cause] < (least_utf8 if cause.startswith("utf_8") else least_swap):
         cause = None
+    if model.ciphers.get(source):
+        got = _deciphered(text, source, model, cache, shown, max(ENOUGH, evidence.get(cause, 0.0)))
+        if got is not None:
+            return got
     if cause is None:
         return ("lost", text) if LOST in text and _lost_in(text) else None
     out, end = [], 0
@@ -413,6 +482,54 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
     return cause, "".join([*out, text[end:]])
 
 
+def _deciphered(text: str, source: str, model: SwapModel, cache: dict, without: set[str], enough: float) -> tuple[str, str] | None:
+    """The source's cipher that a text's stretches bear out best, but for some, and the text read back by it; None below so much evidence."""
+    ciphers = model.ciphers[source]
+    known: dict[str, list[tuple[float, str] | None]] = {}
+    places = []
+    for lo, hi, _, _ in stretches(text):
+        s = text[lo:hi]
+        if s in without or LOST in s:
+            continue
+        if (key := ("cipher", source, s)) not in cache:
+            own = _own_score(s, model)
+            odds: list = []
+            if own < POOR * (len(s) + 1):
+                for c in ciphers:
+                    r = c.read_back(s)
+                    odds.append((model.bigrams.score(r) - own, r) if r != s and BAD not in r and _proper(r) else None)
+            cache[key] = odds
+        known[s] = cache[key]
+        places.append((lo, hi, s))
+    if not any(known.values()):
+        return None
+    best, cause = 0.0, -1
+    for k in range(len(ciphers)):
+        gains = [o[k][0] if o and o[k] is not None and not _shown(text, places, s, o[k][1]) else None for s, o in known.items()]
+        total = sum(g if g is not None and g >= CLEAR else -AGAINST for g in gains)
+        if total > best:
+            best, cause = total, k
+    if best < enough:
+        return None
+    out, end = [], 0
+    for lo, hi, s in places:
+        if known[s] and known[s][cause] is not None and known[s][cause][0] > 0:
+            out += [text[end:lo], known[s][cause][1]]
+            end = hi
+    return ciphers[cause].name, "".join([*out, text[end:]])
+
+
+def _shown(text: str, places: list[tuple[int, int, str]], s: str, reading: str) -> bool:
+    """Whether a line that holds a stretch holds its proper reading too."""
+    core = CORE.search(reading)
+    for lo, hi, t in places:
+        if t == s and core is not None:
+            left, right = text.rfind("\n", 0, lo) + 1, text.find("\n", hi)
+            if core.group() in text[left:lo] + "\0" + text[hi : right if right >= 0 else len(text)]:
+                return True
+    return False
+
+
 def garbled_documents(documents: DataFrame, rounds: int = 3) -> DataFrame:
     """``doc_id, swap, restored, complete`` of each document with wrongly decoded text.
 
