@@ -167,3 +167,21 @@ def test_mean_image(spark):
     df = spark.createDataFrame([(1, 1, 1, 2, bytearray([0, 10])), (2, 1, 1, 2, bytearray([2, 30])), (3, 1, 1, 2, None), (4, 1, 1, 2, bytearray([1]))], "datum_id bigint, channels int, height int, width int, data binary")
     r = N.mean_image(N.images(df)).first()
     assert (r.n, list(r["mean"])) == (2, [1.0, 20.0])
+
+
+def test_gamma_functions(spark):
+    xs = [1e-3, 0.5, 1.0, 2.5, 30.0, 1e6, 1e8]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", vec.ln_gamma("x").alias("g"), vec.digamma("x").alias("d")).collect()
+    for row in got:
+        assert row.g == pytest.approx(math.lgamma(row.x), rel=1e-10, abs=1e-10)
+        h = max(row.x, 1.0) * 1e-4 if row.x > 0.01 else 1e-7
+        assert row.d == pytest.approx((math.lgamma(row.x + h) - math.lgamma(row.x - h)) / (2 * h), rel=1e-4, abs=1e-4)
+    rising = spark.createDataFrame([(0,), (3,), (100_000_000,), (-2,)], "n int").select(vec.log_rising("n", 0.1).alias("v"))
+    assert [r.v for r in rising.collect()] == pytest.approx([0.0, math.lgamma(3.1) - math.lgamma(0.1), math.lgamma(1e8 + 0.1) - math.lgamma(0.1), 0.0])
+
+
+def test_nan_stops_a_query(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
+    assert df.where("not isnan(x)").select(vec.not_nan("x", "loss").alias("x")).collect()[0].x == 1.0
+    with pytest.raises(Exception, match="loss is NaN"):
+        df.select(vec.not_nan("x", "loss")).collect()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,11 +108,36 @@ def lazy_decay(w: Column | str, rate: float, clock: Column | str, last: Column |
     return _c(w).cast("double") * F.pow(F.lit(float(rate)), (_c(clock) - _c(last)).cast("double"))
 
 
+#: By so many unit steps arguments are raised before the asymptotic series of ln Γ and of its derivative are used.
+_STEPS = 8
+
+
+def ln_gamma(x: Column | str) -> Column:
+    """ln Γ(x) for x > 0, to about twelve digits; null elsewhere."""
+    v = _c(x).cast("double")
+    z = v + _STEPS
+    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    return F.when(v > 0, functools.reduce(lambda s, k: s - F.ln(v + k), range(_STEPS), series))
+
+
+def digamma(x: Column | str) -> Column:
+    """The derivative of ln Γ for x > 0; null elsewhere."""
+    v = _c(x).cast("double")
+    z = v + _STEPS
+    series = F.ln(z) - 1 / (2 * z) - 1 / (12 * z * z) + 1 / (120 * F.pow(z, 4)) - 1 / (252 * F.pow(z, 6)) + 1 / (240 * F.pow(z, 8))
+    return F.when(v > 0, functools.reduce(lambda s, k: s - 1 / (v + k), range(_STEPS), series))
+
+
 def log_rising(n: Column | str, a: float) -> Column:
-    """lnΓ(n + a) − lnΓ(a) for a whole number n ≥ 0; 0 for n ≤ 0."""
-    k = _c(n).cast("int")
-    terms = F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1)
-    return F.when(k > 0, F.aggregate(terms, F.lit(0.0), lambda s, i: s + F.ln(F.lit(float(a)) + i))).otherwise(0.0)
+    """lnΓ(n + a) − lnΓ(a) for a whole number n ≥ 0, in constant time; 0 for n ≤ 0."""
+    k = _c(n).cast("double")
+    return F.when(k > 0, ln_gamma(k + float(a)) - math.lgamma(a)).otherwise(0.0)
+
+
+def not_nan(x: Column | str, what: str) -> Column:
+    """The value; a NaN stops the query with a message."""
+    v = _c(x).cast("double")
+    return F.when(F.isnan(v), F.raise_error(F.lit(f"{what} is NaN")).cast("double")).otherwise(v)
 
 
 def clip(x: Column | str, low: float, high: float) -> Column:

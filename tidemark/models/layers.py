@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vec import doubles, dot, let, safe_log, softmax, total
-from tidemark.runtime import hash_unit
+from tidemark.runtime import text_unit
 
 # ---- element-wise -----------------------------------------------------------
 
@@ -50,7 +50,7 @@ def threshold(v, t: float = 0.0) -> Column:
 
 def dropout(v, ratio: float, *keys: str, seed: int = 0) -> Column:
     """Elements kept with probability 1 − ratio and scaled up by its inverse; the mask follows from keys, place and seed."""
-    return F.transform(doubles(v), lambda x, i: F.when(hash_unit(*keys, i, seed=seed) >= ratio, x / (1 - ratio)).otherwise(0.0))
+    return F.transform(doubles(v), lambda x, i: F.when(text_unit(*keys, i, seed=seed) >= ratio, x / (1 - ratio)).otherwise(0.0))
 
 
 # ---- shape ------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clocks as C
 from tidemark.operators import deltas as D
-from tidemark.runtime import staged
+from tidemark.runtime import run_dir
 from tidemark.sources import snapshots
 
 LOG = "row_id int, col_id int, delta double, worker int, clock int"
@@ -34,6 +35,7 @@ class Table:
     spec: TableSpec
     log: DataFrame
     pending: dict[int, list[DataFrame]] = field(default_factory=dict)
+    folder: str = ""
 
     def _add(self, worker: int, deltas: DataFrame) -> None:
         if worker not in self.group.clocks:
@@ -68,7 +70,10 @@ class Table:
     def _ship(self, worker: int) -> None:
         self.flush(worker)
         if parts := self.pending.pop(worker, None):
-            self.log = staged(self.log.unionByName(parts[0]), f"table{self.table_id}")
+            # Only the new slice is written; what was shipped before stays as it is.
+            spark = self.group.spark
+            parts[0].write.mode("append").parquet(self.folder)
+            self.log = spark.read.schema(LOG).parquet(self.folder)
 
     def read(self, worker: int) -> DataFrame:
         """The cells a worker is sure to see at its clock: others' within the staleness, and all its own, also unsent."""
@@ -101,8 +106,9 @@ class TableGroup:
     """Tables of a session, their workers and their clock.
 
     A worker's increments belong to its clock; they join the log when it ticks.
-    The log is written to the shared folder at each tick, so plans stay short
-    and nothing depends on one executor.
+    Each tick appends them to the log's folder in the shared folder, so plans
+    stay short, nothing depends on one executor, and what a tick writes doesn't
+    grow with the log.
     """
 
     def __init__(self, spark: SparkSession, workers: int):
@@ -121,7 +127,7 @@ class TableGroup:
         if table_id in self.tables:
             return False
         spec = TableSpec(self.rows[row_type], capacity, staleness)
-        self.tables[table_id] = Table(self, table_id, spec, self.spark.createDataFrame([], LOG))
+        self.tables[table_id] = Table(self, table_id, spec, self.spark.createDataFrame([], LOG), folder=f"{run_dir(self.spark)}/table{table_id}-{uuid.uuid4().hex}")
         return True
 
     def table(self, table_id: int) -> Table:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.models import layers as N
-from tidemark.plans.common import EMB_SQL, r
+from tidemark.plans.common import EMB_SQL, r, text_unit_sql
 from tidemark.plans.vectors import _NEXT, _pairs
 from tidemark.runtime import table
 
@@ -48,11 +48,11 @@ def layer_pair_losses(spark, root):
 
 
 def layer_class_losses(spark, root):
-    """Losses of the first ten values as class scores."""
-    e = table(spark, root, "embeddings").withColumn("s", F.slice("embedding", 1, 10))
+    """Losses of all values as class scores."""
+    e = table(spark, root, "embeddings").withColumn("s", F.col("embedding"))
     p = F.transform(F.col("s"), lambda x: F.abs(x.cast("double")))
-    gain = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("label"), 1.0).otherwise(0.1))
-    target = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("label"), 1.0).otherwise(0.0))
+    gain = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(k == F.col("label"), 1.0).otherwise(0.1))
+    target = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(k == F.col("label"), 1.0).otherwise(0.0))
     return e.select(
         "vec_id", r(N.softmax_loss("s", F.col("label"))).alias("softmax"), r(N.hinge_loss("s", F.col("label"))).alias("hinge1"), r(N.hinge_loss("s", F.col("label"), 2)).alias("hinge2"),
         r(N.multinomial_loss(p, F.col("label"))).alias("multinomial"), r(N.infogain_loss(p, gain)).alias("infogain"), r(N.sigmoid_cross_entropy("s", target)).alias("bce"),
@@ -112,6 +112,11 @@ QUERIES = {
 
 _R = lambda x, n: f"round({x}, 6) + 0.0 AS {n}"
 
+_PIXELS = """d AS (SELECT datum_id, any_value(channels) AS channels, any_value(height) AS height, any_value(width) AS width, any_value(hex(data)) AS h FROM datum
+            WHERE datum_id IS NOT NULL AND octet_length(data) > 0 AND octet_length(data) = channels::BIGINT * height * width GROUP BY 1),
+        u AS (SELECT *, unnest(range(0, channels::BIGINT * height * width)) AS place FROM d),
+        px AS (SELECT datum_id, channels, height, width, place, place // width % height AS y, place % width AS z, ('0x' || substr(h, 2 * place + 1, 2))::INT::DOUBLE AS x FROM u)"""
+
 ORACLE = {
     "layer_elementwise": f"""WITH {EMB_SQL} SELECT vec_id, fid, {_R('abs(x)', 'absval')}, {_R('ln(1 + exp(x))', 'bnll')}, {_R('greatest(x, 0) + 0.1 * least(x, 0)', 'relu')}, {_R('1 / (1 + exp(-x))', 'sigmoid')},
         {_R('tanh(x)', 'tanh')}, {_R('pow(1 + 3 * x, 2)', 'power')}, CASE WHEN x > 0.05 THEN 1.0 ELSE 0.0 END::DOUBLE AS threshold FROM emb""",
@@ -122,9 +127,17 @@ ORACLE = {
         SELECT vec_id, fid, {_R('(x - m) / d', 'v')} FROM emb JOIN m USING (vec_id) JOIN d USING (vec_id)""",
     "layer_pair_losses": f"""WITH {EMB_SQL}, b AS (SELECT vec_id - 1 AS vec_id, fid, x AS y, label AS other FROM emb), d AS (SELECT vec_id, any_value(label) AS l, any_value(other) AS o, sum((x - y) * (x - y)) AS d FROM emb JOIN b USING (vec_id, fid) GROUP BY 1)
         SELECT vec_id, {_R('d / 2', 'euclidean')}, {_R('CASE WHEN l = o THEN d ELSE greatest(2.5 - d, 0) END / 2', 'contrastive')} FROM d""",
-    "layer_class_losses": f"""WITH {EMB_SQL}, s AS (SELECT * FROM emb WHERE fid < 10)
+    "layer_class_losses": f"""WITH {EMB_SQL}, s AS (SELECT * FROM emb)
         SELECT vec_id, {_R('ln(sum(exp(x))) - sum(CASE WHEN fid = label THEN x ELSE 0 END)', 'softmax')}, {_R('sum(greatest(0, 1 + CASE WHEN fid = label THEN -x ELSE x END))', 'hinge1')},
         {_R('sum(pow(greatest(0, 1 + CASE WHEN fid = label THEN -x ELSE x END), 2))', 'hinge2')}, {_R('-sum(CASE WHEN fid = label THEN ln(greatest(abs(x), 1e-20)) ELSE 0 END)', 'multinomial')},
         {_R('-sum(CASE WHEN fid = label THEN 1.0 ELSE 0.1 END * ln(greatest(abs(x), 1e-20)))', 'infogain')}, {_R('sum(greatest(x, 0) - CASE WHEN fid = label THEN x ELSE 0 END + ln(1 + exp(-abs(x))))', 'bce')} FROM s GROUP BY 1""",
+    "layer_dropout": f"WITH {EMB_SQL} SELECT vec_id, fid, {_R(f"CASE WHEN {text_unit_sql(2, 'vec_id', 'fid')} >= 0.4 THEN x / 0.6 ELSE 0 END", 'v')} FROM emb",
+    "layer_im2col": f"WITH {_PIXELS} SELECT datum_id, CAST(count(*) AS INT) AS n, round(sum(x), 4) + 0.0 AS total FROM px WHERE y < height // 4 * 4 AND z < width // 4 * 4 GROUP BY 1",
+    "layer_conv": f"""WITH {_PIXELS}, g AS (SELECT datum_id, any_value(height) AS height, any_value(width) AS width, y, z, avg(x) AS x FROM px GROUP BY datum_id, y, z),
+        k AS (SELECT a - 1 AS dy, b - 1 AS dz, (b - 1) * CASE WHEN a = 1 THEN 2 ELSE 1 END / 8.0 AS w FROM range(0, 3) s(a), range(0, 3) t(b)),
+        o AS (SELECT datum_id, y - dy AS y, z - dz AS z, sum(x * w) AS v FROM g, k WHERE y - dy BETWEEN 0 AND height - 1 AND z - dz BETWEEN 0 AND width - 1 GROUP BY 1, 2, 3),
+        c AS (SELECT datum_id, count(*) AS n FROM g GROUP BY 1)
+        SELECT datum_id, CAST(any_value(n) AS INT) AS n, round(sum(abs(v)), 4) + 0.0 AS total FROM o JOIN c USING (datum_id) GROUP BY 1""",
+    "mean_image": f"WITH {_PIXELS} SELECT channels, height, width, count(*) AS n, CAST(place AS INT) AS place, round(avg(x), 4) + 0.0 AS mean FROM px GROUP BY channels, height, width, place",
     "layer_inner_product": f"WITH {EMB_SQL} SELECT vec_id, CAST(k AS INT) AS k, {_R('sum(x * ((k * 5 + fid * 3) % 7 - 3) / 3.0) + k / 8.0', 'y')} FROM emb, range(0, 8) t(k) GROUP BY vec_id, k",
 }

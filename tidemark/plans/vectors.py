@@ -108,8 +108,8 @@ def clip(spark, root):
 
 
 def hyperbolic(spark, root):
-    e = table(spark, root, "embeddings").select("vec_id", F.get("embedding", F.lit(1)).cast("double").alias("x"))
-    return e.select("vec_id", r(F.sinh("x")).alias("sinh"), r(F.cosh("x")).alias("cosh"), r(F.tanh("x")).alias("tanh"), r(F.exp("x")).alias("exp"), r(F.pow(F.lit(2.0), "x")).alias("pow2"), r(F.log2(F.abs("x") + 1)).alias("log2"))
+    e = table(spark, root, "embeddings").select("vec_id", F.posexplode("embedding").alias("fid", "v")).withColumn("x", F.col("v").cast("double"))
+    return e.select("vec_id", "fid", r(F.sinh("x")).alias("sinh"), r(F.cosh("x")).alias("cosh"), r(F.tanh("x")).alias("tanh"), r(F.exp("x")).alias("exp"), r(F.pow(F.lit(2.0), "x")).alias("pow2"), r(F.log2(F.abs("x") + 1)).alias("log2"))
 
 
 def linear_score(spark, root):
@@ -149,7 +149,7 @@ ORACLE = {
     "lazy_decay": f"WITH {EVENT_SQL} SELECT seq, round(delta * pow(0.9, 30 - clock), 6) + 0.0 AS value FROM event_log",
     "rising_log": "SELECT l_orderkey, round(lgamma(count(*) + 0.7) - lgamma(0.7), 6) + 0.0 AS value FROM lineitem GROUP BY 1",
     "clip": "SELECT o_orderkey, round(least(greatest(o_totalprice, 50000.0), 100000.0), 2) + 0.0 AS value FROM orders",
-    "hyperbolic": "SELECT vec_id, round(sinh(x), 6) + 0.0 AS sinh, round(cosh(x), 6) + 0.0 AS cosh, round(tanh(x), 6) + 0.0 AS tanh, round(exp(x), 6) + 0.0 AS exp, round(pow(2.0, x), 6) + 0.0 AS pow2, round(log2(abs(x) + 1), 6) + 0.0 AS log2 FROM (SELECT vec_id, embedding[2]::DOUBLE AS x FROM embeddings)",
+    "hyperbolic": f"WITH {EMB_SQL} SELECT vec_id, fid, round(sinh(x), 6) + 0.0 AS sinh, round(cosh(x), 6) + 0.0 AS cosh, round(tanh(x), 6) + 0.0 AS tanh, round(exp(x), 6) + 0.0 AS exp, round(pow(2.0, x), 6) + 0.0 AS pow2, round(log2(abs(x) + 1), 6) + 0.0 AS log2 FROM emb",
     "linear_score": f"WITH {EMB_SQL} SELECT CAST(vec_id AS INT) AS row_id, round(sum(x * (((fid * 7) % 11 - 5) / 10.0)), 6) + 0.0 AS score FROM emb GROUP BY 1",
     "one_based": "SELECT CAST(l_linenumber - 1 AS INT) AS feature, count(*) AS n FROM lineitem GROUP BY 1",
 }

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+# Names this process's intermediate tables in the shared folder; they go when it ends.
+_RUN = uuid.uuid4().hex
+_RUN_DIRS: set[str] = set()
 
 
 def importable(spark: SparkSession) -> None:
@@ -54,6 +57,25 @@ def _remove(folder: str) -> None:
     shutil.rmtree(folder, ignore_errors=True)
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This process's part of the shared folder; removed when the process ends, as far as it can be reached then."""
+    folder = f"{shared_dir(spark)}/tidemark/run-{_RUN}"
+    if folder not in _RUN_DIRS:
+        _RUN_DIRS.add(folder)
+        atexit.register(_remove_run, folder)
+    return folder
+
+
+def _remove_run(folder: str) -> None:
+    from pyarrow import fs
+
+    try:
+        filesystem, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        filesystem.delete_dir(path)
+    except Exception:  # a folder out of reach, or nothing was written
+        pass
+
+
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -61,7 +83,7 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     before, and keeps columns prunable (unlike a checkpointed RDD).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{os.getpid()}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
