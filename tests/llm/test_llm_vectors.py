@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import runtime
 from tidemark.llm import clusters, graph, neighbours, subset, vectors
 from tidemark.llm.vectors import unit_vectors
 
@@ -164,6 +165,50 @@ def test_members_of_large_leaves_meet_in_chunks(spark):
     assert clusters._member_links(df, top + 1e-3, 8).count() == 0
 
 
+def test_only_links_are_written_for_pairs_of_leaves(spark, monkeypatch):
+    """Many leaves near each other but not linked: what is written grows with the rows, not with the pairs, and the vectors are kept once."""
+    rng = np.random.default_rng(14)
+    hub = unit(rng.normal(size=(60, 64)))
+    x = np.concatenate([unit(h + rng.normal(0, 0.045, (4, 64))) for h in unit(hub + unit(hub.sum(axis=0, keepdims=True)) * 0.8)])
+    written: dict = {}
+
+    def staged(df, name, *args):
+        out = runtime.staged(df, name, *args)
+        written[name] = out
+        return out
+
+    monkeypatch.setattr(clusters, "staged", staged)
+    df = datum(spark, [(i, "train", 0, v) for i, v in enumerate(x)])
+    got = clusters.similarity_groups(unit_vectors(df)).collect()
+    link = x @ x.T >= 0.78
+    group = np.arange(len(x))
+    while not ((new := np.array([group[r].min() for r in link])) == group).all():
+        group = new
+    assert len({(r.group, group[r.id]) for r in got}) == len(set(group.tolist())) == len({r.group for r in got})
+    assert sum(t.count() for n, t in written.items() if n in ("p6-links", "p6-pairs", "p6-unsure", "p6-reaching")) <= len(x)
+    at = {n: spark._jvm.org.apache.hadoop.fs.Path(t.staged_path) for n, t in written.items() if n in ("p6-vectors", "p6-members")}
+    assert [n for n, p in at.items() if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)] == ["p6-members"]
+
+
+def test_parts_of_large_leaves_are_decided_by_their_own_members():
+    rng = np.random.default_rng(15)
+    a, b = (unit(rng.normal(size=(1, 64)) + rng.normal(0, 0.3, (30, 64))) for _ in range(2))
+    far = unit(-(a.sum(axis=0, keepdims=True) + b.sum(axis=0, keepdims=True)))
+    block = object.__new__(clusters._Block)
+    block.x, block.ids = np.concatenate([a, b, far]), np.arange(61)
+    block.starts, block.keys = np.array([0, 12, 30, 60]), np.array([1, 1, 2, 3])
+    block.counts = np.array([12, 18, 30, 1])
+    block.centres = clusters._unit(np.add.reduceat(block.x, block.starts, axis=0))
+    dots = np.einsum("ij,ij->i", block.x, np.repeat(block.centres, block.counts, axis=0))
+    block.angle = np.arccos(np.minimum.reduceat(dots, block.starts).clip(-1, 1).astype(np.float64))
+    block.pivots = block.x[[s + int(dots[s : s + n].argmax()) for s, n in zip(block.starts, block.counts)]]
+    top = float((a @ b.T).max())
+    for chunk in (4, 1000):
+        rows = clusters._links_of_blocks(block, block, top - 1e-5, chunk).to_pylist()
+        assert {(r["a"], r["b"]) for r in rows} - {(1, 2), (2, 1)} == set() and rows
+    assert clusters._links_of_blocks(block, block, top + 1e-3, 1000).num_rows == 0
+
+
 def test_no_vectors(spark):
     assert clusters.similarity_groups(unit_vectors(datum(spark, []))).count() == 0
 

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import heapq
+import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.vectors import DIMS, from_binary, to_binary
 from tidemark.operators.components import connected_components
-from tidemark.runtime import staged
+from tidemark.runtime import discard, staged
 
 NODE_ROWS = 32_768
 SAMPLE_ROWS = 65_536
@@ -238,30 +242,23 @@ def _leaf_stats(vectors: DataFrame, tree: SplitTree, centres: np.ndarray | None,
     return {r.leaf: (r.n, r.core, np.frombuffer(r.total, np.float64), np.frombuffer(r.pivot, np.float32), r.pivot_id) for r in rows}
 
 
-MEMBER = "id bigint, vec binary, leaf bigint, dot float, centre binary, reach float"
+MEMBER = "id bigint, vec binary, leaf bigint, part int, dot float"
 
 
 def _bisect_group(group: pa.Table, compact: float, link: float) -> pa.Table:
     ids = group.column("id").to_numpy()
     o = np.argsort(ids, kind="stable")
     ids, x = ids[o], from_binary(group.column("vec"))[o]
-    leaf, dots, centres, pivots = bisect(x, compact, link)
-    least = np.full(len(pivots), 2.0, np.float32)
-    np.minimum.at(least, leaf, dots)
-    centre: list[bytes | None] = [None] * len(ids)
-    reach = np.full(len(ids), np.nan, np.float32)
-    reach[pivots] = least
-    for c, p in zip(centres, pivots):
-        centre[p] = c.tobytes()
-    return pa.table({"id": ids, "vec": to_binary(x), "leaf": ids[pivots][leaf], "dot": pa.array(dots, pa.float32()), "centre": pa.array(centre, pa.binary()), "reach": pa.array(reach, mask=np.isnan(reach))})
-
-
-def compact_leaves(vectors: DataFrame, link: float, compact: float, node_rows: int, sample_rows: int, seed: int) -> list[DataFrame]:
-    """Tables of members ``(id, vec, leaf, dot, centre, reach)`` that together hold every vector once.
-
-    A leaf's key is the id of its pivot; its centre, and the least similarity
-    to it that a member has (``reach``), stand in the pivot's row only. Rounds
-    over the cluster split nodes of more than ``node_rows`` vectors: a bounded
+    leaf, dots, _, pivots = bisect(x, compact, link)
+    return pa.table({"id": ids, "vec": to_binary(x), "leaf": ids[pivots][leaf], "part": np.zeros(len(ids), np.int32), "dot": pa.array(dots, pa.float32())})
+
+
+def compact_leaves(vectors: DataFrame, link: float, compact: float, node_rows: int, sample_rows: int, seed: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of members ``(id, vec, leaf, part, dot)`` that together hold every vector once, and the staged tables they are read from.
+
+    A leaf's key is the id of its pivot; a leaf too large for a task comes in
+    several parts. ``vectors`` is a staged table, which is discarded as soon as
+    the nodes hold it. Rounds over the cluster split nodes of more than ``node_rows`` vectors: a bounded
     sample proposes splits, all rows correct their centres and measure their
     leaves. A leaf too large for a task is finished where it lies if it is
     compact: rows near its centre and linked to its pivot stay together without
@@ -271,6 +268,7 @@ def compact_leaves(vectors: DataFrame, link: float, compact: float, node_rows: i
     by the links of leaves as everything else is.
     """
     out: list[DataFrame] = []
+    read = [vectors]
 
     def finish(nodes: DataFrame) -> None:
         out.append(nodes.groupBy("node").applyInArrow(lambda g: _bisect_group(g, compact, link), MEMBER))
@@ -290,28 +288,32 @@ def compact_leaves(vectors: DataFrame, link: float, compact: float, node_rows: i
         centres = _unit(sums)
         stats = _leaf_stats(rest, tree, centres, compact)
         state = np.zeros(tree.leaves, np.int8)  # 0: to a task, 1: core stays, 2: open
+        sections = np.ones(tree.leaves, np.int64)
         pivots = np.zeros((tree.leaves, sample.shape[1]), np.float32)
         pivot_ids = np.full(tree.leaves, -1, np.int64)
         for k, (n, core, _, pivot, pivot_id) in stats.items():
             pivots[k], pivot_ids[k] = pivot, pivot_id
             if n > node_rows:
                 state[k] = 1 if 2 * core >= n else 2
-        routed = staged(_route(rest, tree, centres, pivots, pivot_ids, state, compact, link), f"p6-routed{level}")
-        is_pivot = F.col("id") == F.col("leaf")
-        out.append(routed.where("leaf is not null").select("id", "vec", "leaf", "dot", F.when(is_pivot, F.col("centre")).alias("centre"), F.when(is_pivot, F.least("dot", F.lit(compact))).cast("float").alias("reach")))
+                sections[k] = max(1, -(-2 * core // node_rows))
+        routed = staged(_route(rest, tree, centres, pivots, pivot_ids, state, sections, compact, link), f"p6-routed{level}")
+        if not level:
+            discard(read.pop())
+        read.append(routed)
+        out.append(routed.where("leaf is not null").select("id", "vec", "leaf", "part", "dot"))
         finish(routed.where("node is not null").select("node", "id", "vec"))
         rest = routed.where("leaf is null and node is null").select("id", "vec")
         left = rest.count()
         if left > 0.9 * total:
             finish(rest.select(F.pmod(F.xxhash64("id"), F.lit(-(-2 * left // node_rows))).alias("node"), "id", "vec"))
-            return out
+            return out, read
         total, level = left, level + 1
     if total:
         finish(rest.select(F.lit(0).alias("node"), "id", "vec"))
-    return out
+    return out, read
 
 
-def _route(vectors: DataFrame, tree: SplitTree, centres: np.ndarray, pivots: np.ndarray, pivot_ids: np.ndarray, state: np.ndarray, compact: float, link: float) -> DataFrame:
+def _route(vectors: DataFrame, tree: SplitTree, centres: np.ndarray, pivots: np.ndarray, pivot_ids: np.ndarray, state: np.ndarray, sections: np.ndarray, compact: float, link: float) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, x = b.column(0).to_numpy(), from_binary(b.column(1))
@@ -322,61 +324,159 @@ def _route(vectors: DataFrame, tree: SplitTree, centres: np.ndarray, pivots: np.
             stays |= (kind == 1) & (ids == pivot_ids[leaf])
             node = np.where((kind == 0), leaf, -1)
             key = np.where(stays, pivot_ids[leaf], 0)
-            centre = [centres[l].tobytes() if s and i == pivot_ids[l] else None for l, s, i in zip(leaf, stays, ids)]
+            part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % sections[leaf]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(node, pa.int64(), mask=node < 0), pa.array(key, pa.int64(), mask=~stays), pa.array(d, pa.float32()), pa.array(centre, pa.binary())],
-                ["id", "vec", "node", "leaf", "dot", "centre"],
+                [b.column(0), b.column(1), pa.array(node, pa.int64(), mask=node < 0), pa.array(key, pa.int64(), mask=~stays), pa.array(part, pa.int32()), pa.array(d, pa.float32())],
+                ["id", "vec", "node", "leaf", "part", "dot"],
             )
 
-    return vectors.select("id", "vec").mapInArrow(run, "id bigint, vec binary, node bigint, leaf bigint, dot float, centre binary")
+    return vectors.select("id", "vec").mapInArrow(run, "id bigint, vec binary, node bigint, leaf bigint, part int, dot float")
 
 
-def _links_of_blocks(group: pa.Table, link: float) -> pa.Table:
-    """Pairs of leaves of two blocks, or of one, that may be linked: (leaf, root) of sure ones, the others to be tested by members.
+class _Sets:
+    """Sets of numbers that are joined many pairs at a time; ``root`` has the smallest number of each one's set."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            o = np.lexsort((low, high))
+            first = o[np.flatnonzero(np.concatenate([[True], high[o][1:] != high[o][:-1]]))]
+            self.root[high[first]] = low[first]
+            while not ((up := self.root[self.root]) == self.root).all():
+                self.root = up
+
+
+class _Block:
+    """Members of some leaves, parts of a leaf each by itself, with the centre, the pivot and the own angle of each."""
+
+    def __init__(self, files: list[str]):
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for f in files:
+            filesystem, path = pafs.FileSystem.from_uri(f)
+            with filesystem.open_input_file(path) as opened:
+                for batch in pq.ParquetFile(opened).iter_batches(65_536, columns=["leaf", "part", "id", "vec"], use_threads=False):
+                    vec = batch.column("vec")  # all of one width, so the bytes lie side by side
+                    start = np.frombuffer(vec.buffers()[1], np.int32)[vec.offset]
+                    own = [batch.column(c).to_numpy() for c in ("leaf", "part", "id")]
+                    for c, v in zip(columns, [*own, np.frombuffer(vec.buffers()[2], np.float32, len(vec) * DIMS, int(start)).reshape(-1, DIMS)]):
+                        c.append(v.copy())
+        leaf, part, self.ids, self.x = (np.concatenate(c) for c in columns)
+        del columns
+        if not ((leaf[1:] > leaf[:-1]) | ((leaf[1:] == leaf[:-1]) & (part[1:] >= part[:-1]))).all():
+            o = np.lexsort((part, leaf))
+            leaf, part, self.ids, self.x = leaf[o], part[o], self.ids[o], self.x[o]
+        self.starts = np.flatnonzero(np.concatenate([[True], (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])]))
+        self.counts = np.diff(np.append(self.starts, len(leaf)))
+        self.keys = leaf[self.starts]
+        self.centres = _unit(np.add.reduceat(self.x, self.starts, axis=0))
+        unit = np.repeat(np.arange(len(self.keys)), self.counts)
+        dots = np.concatenate([np.einsum("ij,ij->i", self.x[s : s + 65_536], self.centres[unit[s : s + 65_536]]) for s in range(0, len(unit), 65_536)])
+        self.angle = np.arccos(np.clip(np.minimum.reduceat(dots, self.starts).astype(np.float64), -1, 1))
+        self.pivots = self.x[np.lexsort((-dots, unit))[self.starts]]
+
+
+def _reach(one: _Block, i: np.ndarray, other: _Block, j: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs ``i, j`` have members of ``i`` that a member of ``j`` may be linked with: place of the pair and row of the member."""
+    least = np.cos(np.minimum(other.angle + np.arccos(link) + 1e-4, np.pi)).astype(np.float32)
+    ends = np.cumsum(one.counts[i])
+    pairs, rows = [], []
+    s = 0
+    while s < len(i):  # as many pairs as have some 32,768 members
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 32_768, "right")))
+        n = one.counts[i[s:e]]
+        pair = np.repeat(np.arange(s, e), n)
+        row = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(one.starts[i[s:e]], n)
+        at = j[pair]
+        near = np.einsum("ij,ij->i", one.x[row], other.centres[at]) >= least[at]
+        pairs.append(pair[near])
+        rows.append(row[near])
+        s = e
+    return (np.concatenate(pairs), np.concatenate(rows)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _links_of_blocks(a: _Block, b: _Block, link: float, chunk: int) -> pa.Table:
+    """Links of the leaves of two blocks, or of one: enough ``sure`` ones ``a, b`` to connect all that are linked.
 
     Members of two leaves can be linked only if the angle between the centres
     is at most the sum of the leaves' own and the link's. With half the link's
-    added to each leaf's, that is one product of extended centres.
+    added to each leaf's, that is one product of extended centres. Of the pairs
+    that pass and that nothing connects yet, first the pivots, then the members
+    that reach the other leaf are held against each other. Where more than
+    ``chunk`` members of both leaves do, they come out with ids and vectors instead.
     """
-    keys, second = group.column("leaf").to_numpy(), group.column("second").to_numpy(zero_copy_only=False)
-    o = np.lexsort((keys, second))
-    keys, second = keys[o], second[o]
-    c, p = from_binary(group.column("centre"))[o], from_binary(group.column("pivot"))[o]
-    wide = np.arccos(np.clip(group.column("reach").to_numpy()[o].astype(np.float64), -1, 1)) + (np.arccos(link) + 1e-4) / 2
-    c = np.where(wide[:, None] > np.pi / 2, np.float32(0), c)  # so wide a leaf meets everything
-    wide = np.minimum(wide, np.pi / 2)
-    cos, sin = np.cos(wide).astype(np.float32)[:, None], np.sin(wide).astype(np.float32)[:, None]
-    one, other = np.concatenate([c, -cos, sin], axis=1), np.concatenate([c, cos, sin], axis=1)
-    n = len(keys)
-    first = int((~second).sum())  # of the rows of one block, the rest are the other's; all are if there is only one
-    root = np.arange(n)
+    alone = a is b
+    n = len(a.keys)
+    sets = _Sets(n if alone else n + len(b.keys))
+    shift = 0 if alone else n
+    keys = a.keys if alone else np.concatenate([a.keys, b.keys])
+    o = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[o][1:] == keys[o][:-1])
+    sets.join(o[same], o[same + 1])  # parts of one leaf
+
+    def extended(block: _Block, sign: int) -> np.ndarray:
+        wide = block.angle + (np.arccos(link) + 1e-4) / 2
+        c = np.where(wide[:, None] > np.pi / 2, np.float32(0), block.centres)  # so wide a leaf meets everything
+        wide = np.minimum(wide, np.pi / 2)[:, None]
+        return np.concatenate([c, (sign * np.cos(wide)).astype(np.float32), np.sin(wide).astype(np.float32)], axis=1)
+
+    one, other = extended(a, -1), extended(b, 1)
+    large: list[pa.Table] = []
+    for s in range(0, n, 512):
+        for t in range(s if alone else 0, len(b.keys), 8_192):
+            i, j = np.nonzero(one[s : s + 512] @ other[t : t + 8_192].T >= -1e-5)
+            i, j = i + s, j + t
+            if alone:
+                i, j = i[i < j], j[i < j]
+            for p in range(0, len(i), 65_536):
+                _decide(a, i[p : p + 65_536], b, j[p : p + 65_536], shift, link, chunk, sets, large)
+    moved = np.flatnonzero(sets.root != np.arange(len(keys)))
+    moved = moved[keys[moved] != keys[sets.root[moved]]]
+    return pa.concat_tables([_reaching(keys[moved], keys[sets.root[moved]]), *large])
+
+
+def _decide(a: _Block, i: np.ndarray, b: _Block, j: np.ndarray, shift: int, link: float, chunk: int, sets: _Sets, large: list[pa.Table]) -> None:
+    """Join the sets of those candidates that have linked members; what is too large for that goes to ``large``."""
+
+    def apart(*columns: np.ndarray) -> list[np.ndarray]:
+        keep = sets.root[columns[0]] != sets.root[columns[1] + shift]
+        return [c[keep] for c in columns]
+
+    i, j = apart(i, j)
+    sure = np.einsum("ij,ij->i", a.pivots[i], b.pivots[j]) >= link
+    sets.join(i[sure], j[sure] + shift)
+    several = ~sure & ((a.counts[i] > 1) | (b.counts[j] > 1))  # of single members the pivots are all
+    i, j = apart(i[several], j[several])
+    fewer = a.counts[i] <= b.counts[j]
+    for one, other, x, y, turned in ((a, b, i[fewer], j[fewer], False), (b, a, j[~fewer], i[~fewer], True)):
+        pair, row = _reach(one, x, other, y, link)
+        hit, first = np.unique(pair, return_index=True)
+        back, back_row = _reach(other, y[hit], one, x[hit], link)
+        bounds, ends = np.append(first, len(row)), np.searchsorted(back, np.arange(len(hit) + 1))
+        for k, at in enumerate(hit.tolist()):
+            mine, theirs = row[bounds[k] : bounds[k + 1]], back_row[ends[k] : ends[k + 1]]
+            u, v = (y[at], x[at]) if turned else (x[at], y[at])
+            if sets.root[u] == sets.root[v + shift] or not len(theirs):
+                continue
+            if min(len(mine), len(theirs)) > chunk:
+                for block, leaf, rows, far in ((one, one.keys[x[at]], mine, other.keys[y[at]]), (other, other.keys[y[at]], theirs, one.keys[x[at]])):
+                    large.append(_reaching(np.full(len(rows), leaf), np.full(len(rows), far), block.ids[rows], block.x[rows]))
+            elif any((one.x[mine[s : s + 1024]] @ other.x[theirs].T >= link).any() for s in range(0, len(mine), 1024)):
+                sets.join(np.array([u]), np.array([v + shift]))
 
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
 
-    open_a, open_b = [], []
-    for s in range(0, first, 512):
-        end = min(s + 512, first)
-        for t in range(s if first == n else first, n, 16_384):
-            i, j = np.nonzero(one[s:end] @ other[t : t + 16_384].T >= -1e-5)
-            i, j = i + s, j + t
-            i, j = i[i < j], j[i < j]
-            sure = np.einsum("ij,ij->i", p[i], p[j]) >= link
-            for a, b in zip(i[sure].tolist(), j[sure].tolist()):
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    root[max(ra, rb)] = min(ra, rb)
-            open_a.append(i[~sure])
-            open_b.append(j[~sure])
-    roots = np.array([find(a) for a in range(n)], np.int64)
-    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (open_a, open_b))
-    apart = roots[a] != roots[b]
-    a, b = a[apart], b[apart]
-    moved = np.flatnonzero(roots != np.arange(n))
-    return pa.table({"a": np.concatenate([keys[moved], keys[a]]), "b": np.concatenate([keys[roots[moved]], keys[b]]), "sure": np.concatenate([np.ones(len(moved), bool), np.zeros(len(a), bool)])})
+def _reaching(a: np.ndarray, b: np.ndarray, ids: np.ndarray | None = None, x: np.ndarray | None = None) -> pa.Table:
+    """Sure links ``a, b``, or members of ``a`` that reach ``b``."""
+    n = len(a)
+    sure = ids is None
+    return pa.table({"a": a, "b": b, "sure": np.full(n, sure), "id": pa.nulls(n, pa.int64()) if sure else pa.array(ids), "vec": pa.nulls(n, pa.binary()) if sure else to_binary(x)}, schema=REACHING)
 
 
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -388,64 +488,6 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.where("a_root <> b_root").drop("a_root", "b_root")
 
 
-def _reaching(members: DataFrame, pairs: DataFrame, leaves: DataFrame, link: float, chunk: int) -> DataFrame:
-    """For pairs ``a, b`` in both directions: the members of ``a`` that a member of ``b`` may be linked with, or that ``sure`` its pivot is.
-
-    A member reaches a leaf if the angle to its centre is at most the leaf's
-    own and the link's. Members meet the centres their leaf is to be tested
-    against in buckets of about ``chunk`` members; a larger leaf is spread over
-    several, each with all its centres.
-    """
-    asked = pairs.select("a").distinct()
-    mine = members.join(asked, members.leaf == asked.a, "left_semi").select("leaf", "id", "vec")
-    sizes = mine.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
-    sizes = staged(sizes, "p6-asked")
-    buckets = max(1, -(-(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // chunk))
-
-    def bucket(leaf: str, part: str):
-        return F.pmod(F.xxhash64(leaf, part), F.lit(buckets)).cast("int").alias("bucket")
-
-    spread = mine.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    left = spread.select(bucket("leaf", "part"), F.col("leaf").alias("a"), "part", "id", "vec")
-    seen = leaves.select(F.col("leaf").alias("b"), "centre", F.col("pivot"), "reach")
-    right = pairs.select("a", "b").join(seen, "b").join(sizes.select(F.col("leaf").alias("a"), "parts"), "a")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(bucket("a", "part"), "a", "part", "b", "centre", "pivot", "reach")
-
-    def run(members: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
-        keys = [np.stack([t.column("a").to_numpy(), t.column("part").to_numpy()], axis=1) for t in (members, asked)]
-        orders = [np.lexsort(k.T[::-1]) for k in keys]
-        x, ids = from_binary(members.column("vec"))[orders[0]], members.column("id").to_numpy()[orders[0]]
-        c, p = from_binary(asked.column("centre"))[orders[1]], from_binary(asked.column("pivot"))[orders[1]]
-        b = asked.column("b").to_numpy()[orders[1]]
-        wide = np.arccos(np.clip(asked.column("reach").to_numpy()[orders[1]].astype(np.float64), -1, 1)) + np.arccos(link) + 1e-4
-        least = np.cos(np.minimum(wide, np.pi)).astype(np.float32)
-        sorted_keys = [[tuple(r) for r in k[o].tolist()] for k, o in zip(keys, orders)]
-        places: dict[tuple, list[int]] = {}
-        for side, rows in enumerate(sorted_keys):
-            for at, k in enumerate(rows):
-                e = places.setdefault(k, [-1, -1, -1, -1])
-                if e[2 * side] < 0:
-                    e[2 * side] = at
-                e[2 * side + 1] = at + 1
-        for (a, _), (m0, m1, q0, q1) in places.items():
-            if m0 < 0 or q0 < 0:
-                continue
-            for s in range(q0, q1, 2048):
-                e = min(s + 2048, q1)
-                sure = (x[m0:m1] @ p[s:e].T >= link).any(axis=0)
-                r, q = np.nonzero((x[m0:m1] @ c[s:e].T >= least[s:e]) & ~sure)
-                hit = np.flatnonzero(sure)
-                n, k = len(hit), len(r)
-                out.append(pa.table({
-                    "a": np.full(n + k, a), "b": np.concatenate([b[s + hit], b[s + q]]), "sure": np.concatenate([np.ones(n, bool), np.zeros(k, bool)]),
-                    "id": pa.array(np.concatenate([np.zeros(n, np.int64), ids[m0 + r]]), pa.int64()), "vec": pa.concat_arrays([pa.nulls(n, pa.binary()), to_binary(x[m0 + r])]),
-                }))
-        return pa.concat_tables(out) if out else REACHING.empty_table()
-
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, "a bigint, b bigint, sure boolean, id bigint, vec binary")
-
-
 REACHING = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_()), ("id", pa.int64()), ("vec", pa.binary())])
 
 
@@ -468,35 +510,39 @@ def _member_links(reaching: DataFrame, link: float, chunk: int) -> DataFrame:
     return rows.groupBy("x", "y", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _leaf_links(leaves: DataFrame, members: DataFrame, link: float, block_leaves: int, chunk: int) -> DataFrame:
+def _leaf_links(members: DataFrame, link: float, chunk: int) -> DataFrame:
     """All links ``(a, b)`` that connect leaves of one group.
 
-    Candidates come from the bound on the angle between centres
-    (:func:`_links_of_blocks`), so none is left out. Blocks of leaves meet in
-    pairs; the work grows with the square of the leaves, whose number grows
-    with the groups, not with the rows. Candidates whose pivots aren't linked
-    and which others don't connect already are decided by members: first those
-    of one leaf against the other's pivot and reach, then the members that
-    reach each other's leaf against each other.
+    ``members`` is a staged table by ``block``. Blocks meet in pairs; a task
+    reads the files of two and decides every pair of their leaves where it is
+    (:func:`_links_of_blocks`), so nothing that grows with the pairs is written
+    or moved, only links. None is left out, as candidates come from a bound.
+    The work grows with the square of the leaves, whose number grows with the
+    groups, not with the rows.
     """
-    n = leaves.count()
-    blocks = max(1, -(-n // block_leaves), min(4, n // 4096))
-    mine = F.pmod(F.xxhash64("leaf"), F.lit(blocks)).cast("int")
-    placed = leaves.select("leaf", "centre", "pivot", "reach", mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    paired = placed.select("leaf", "centre", "pivot", "reach", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
-    pairs = paired.groupBy("x", "y").applyInArrow(lambda g: _links_of_blocks(g, link), "a bigint, b bigint, sure boolean")
-    pairs = staged(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "p6-pairs")
-    links = pairs.where("sure").select("a", "b")
-    unsure = staged(_apart(pairs.where("not sure").select("a", "b"), links), "p6-unsure")
-    if unsure.isEmpty():
-        return links
-    both = unsure.unionByName(unsure.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reaching = staged(_reaching(members, both, leaves, link, chunk), "p6-reaching")
-    links = links.unionByName(reaching.where("sure").select("a", "b").distinct())
-    rest = reaching.where("not sure")
-    if rest.isEmpty():
-        return links
-    return links.unionByName(_member_links(_apart(rest, links), link, chunk))
+    files: dict[int, list[str]] = defaultdict(list)
+    for f in members.inputFiles():
+        files[int(re.search(r"/block=(\d+)/", f).group(1))].append(f)
+    blocks = sorted(files)
+    pairs = [(x, y) for k, x in enumerate(blocks) for y in blocks[k:]]
+
+    def run(batches):
+        held: dict[int, _Block] = {}
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                for x in [x for x in held if x not in pairs[k]]:
+                    del held[x]
+                for x in pairs[k]:
+                    if x not in held:
+                        held[x] = _Block(files[x])
+                yield from _links_of_blocks(held[pairs[k][0]], held[pairs[k][1]], link, chunk).to_batches()
+
+    tasks = max(min(len(pairs), 64), len(pairs) // 4)
+    found = members.sparkSession.range(0, len(pairs), 1, max(1, tasks)).mapInArrow(run, "a bigint, b bigint, sure boolean, id bigint, vec binary")
+    found = staged(found, "p6-links")
+    links = found.where("sure").select("a", "b")
+    large = found.where("not sure")
+    return links if large.isEmpty() else links.unionByName(_member_links(_apart(large, links), link, chunk))
 
 
 def similarity_groups(vectors: DataFrame, link: float = 0.78, compact: float = 0.89, node_rows: int = NODE_ROWS, sample_rows: int = SAMPLE_ROWS, block_leaves: int = BLOCK_LEAVES, seed: int = 6) -> DataFrame:
@@ -511,20 +557,24 @@ def similarity_groups(vectors: DataFrame, link: float = 0.78, compact: float = 0
     Groups are exactly those of the relation "similarity of at least ``link``,
     directly or through others" (in 32-bit arithmetic), whatever their form and
     ``node_rows``; for groups that are compact and lie apart few leaves come
-    near each other and it is cheap. All rows are used, also for the centres;
+    near each other and it is cheap. A block of leaves holds about four times
+    ``block_leaves`` rows, of which a task has two in memory. All rows are used, also for the centres;
     samples only propose splits. Repeated ids count once; equal vectors share a
     leaf. An empty table gives no rows.
     """
     v = staged(vectors.select("id", "vec").dropDuplicates(["id"]), "p6-vectors")
-    parts = compact_leaves(v, link, compact, node_rows, sample_rows, seed)
+    n = v.count()
+    parts, read = compact_leaves(v, link, compact, node_rows, sample_rows, seed)
     if not parts:
         return v.select("id", F.col("id").alias("leaf"), F.lit(0).cast("float").alias("dot"), F.col("id").alias("group"))
     members = parts[0]
     for p in parts[1:]:
         members = members.unionByName(p)
-    members = staged(members, "p6-members")
-    leaves = members.where("id = leaf").select("leaf", "centre", F.col("vec").alias("pivot"), "reach")
-    links = _leaf_links(leaves, members, link, block_leaves, node_rows // 2)
+    blocks = max(1, -(-n // (4 * block_leaves)), min(4, n // node_rows))
+    members = members.withColumn("block", F.pmod(F.xxhash64("leaf", "part"), F.lit(blocks)).cast("int"))
+    members = staged(members.repartition(blocks, "block").sortWithinPartitions("block", "leaf", "part"), "p6-members", ["block"])
+    discard(*read)
+    links = _leaf_links(members, link, node_rows // 2)
     roots = connected_components(links, "a", "b").select(F.col("node").alias("leaf"), F.col("component"))
     return members.select("id", "leaf", "dot").join(roots, "leaf", "left").select("id", "leaf", "dot", F.coalesce("component", "leaf").alias("group"))
 
