@@ -23,6 +23,41 @@ def test_gibbs_keeps_tokens_and_raises_likelihood(spark):
     assert len({top[w] for w in themes[0]}) == 1 and len({top[w] for w in themes[1]}) == 1
 
 
+def one_by_one(rows, topics, alpha, beta, seed):
+    """A round of Gibbs sampling token by token."""
+    words, nk = {}, np.zeros(topics)
+    for _, _, w, z in rows:
+        words.setdefault(w, np.zeros(topics))[z] += 1
+        nk[z] += 1
+    out, totals = [], nk + len(words) * beta
+    for doc in sorted({r[0] for r in rows}):
+        mine = sorted(r for r in rows if r[0] == doc)
+        nd = np.bincount([r[3] for r in mine], minlength=topics).astype(float)
+        rng = np.random.default_rng([seed, doc & 0x7FFFFFFF])
+        for _, pos, w, z in mine:
+            own = np.eye(topics)[z]
+            nd -= own
+            c = np.cumsum((nd + alpha) * np.maximum(words[w] - own + beta, beta) / (totals - own))
+            new = int(np.searchsorted(c, rng.random() * c[-1]))
+            nd[new] += 1
+            out.append((doc, pos, w, new))
+    return out
+
+
+def test_gibbs_round_in_shares_of_bounded_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in "abcdefg" for b in "hijklmnop"]
+    docs = [(i * 7 - 3, " ".join(rng.choice(words, int(rng.integers(0, 60))))) for i in range(80)]
+    t = lda.random_topics(lda.tokens(spark.createDataFrame(docs, "doc_id bigint, text string"), 5), 5, 9).cache()
+    want = one_by_one([tuple(r) for r in t.collect()], 5, 0.3, 0.1, 11)
+    n = t.count()
+    for most in (1 << 19, 100):
+        monkeypatch.setattr(lda, "SHARE_TOKENS", most)
+        got = sorted(map(tuple, lda.gibbs_round(t, 5, 0.3, 0.1, 11, shares=1).collect()))
+        assert got == want
+        assert t.groupBy(lda.share_of(n, 1)).count().count() > (10 if most < n else 0)
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     t, history = lda.train(df, 3, 1)

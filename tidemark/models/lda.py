@@ -11,12 +11,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vec
-from tidemark.runtime import staged
+from tidemark.runtime import discard, staged
+
+# Tokens of a group of documents that a task has in memory, about 30 bytes each and as much again for the counts of its words.
+SHARE_TOKENS = 1 << 18
 
 
 def tokens(documents: DataFrame, topics: int, text: str = "text") -> DataFrame:
@@ -96,55 +100,64 @@ def gibbs_mass(t: DataFrame, topics: int, alpha: float, beta: float) -> DataFram
     return t.join(per_doc, "doc_id").join(base, "word").join(cross, ["doc_id", "word"], "left").crossJoin(F.broadcast(used)).select("doc_id", "pos", "s", "r", (F.col("qa") + F.coalesce("qd", F.lit(0.0))).alias("q"))
 
 
+def share_of(tokens_: float, shares: int) -> Column:
+    """The share of a document: a hash into ``shares``, or into as many as hold ``SHARE_TOKENS`` tokens each."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(max(shares, -(-int(tokens_) // SHARE_TOKENS))))
+
+
+def _draw(t: pa.Table, words: pa.Table, totals: np.ndarray, alpha: float, beta: float, seed: int) -> pa.Table:
+    """A share's tokens with new topics; documents go abreast, the first tokens of all, then the second ones, and so on."""
+    topics = len(totals)
+    t = t.take(pa.array(np.lexsort((t.column("pos").to_numpy(), t.column("doc_id").to_numpy()))))
+    ids, z = t.column("doc_id").to_numpy(), t.column("topic").to_numpy().astype(np.int64)
+    word = pc.index_in(t.column("word"), value_set=words.column("known").combine_chunks()).to_numpy()
+    entries = words.column("counts").combine_chunks()
+    of_word = np.repeat(np.arange(len(words)), pc.list_value_length(entries).to_numpy())
+    counts = np.zeros((len(words), topics))
+    counts[of_word, entries.flatten().field("topic").to_numpy()] = entries.flatten().field("n").to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(ids)))
+    nd = np.zeros((len(starts), topics))
+    np.add.at(nd, (np.repeat(np.arange(len(starts)), sizes), z), 1.0)
+    draws = [np.random.default_rng([seed, int(ids[s]) & 0x7FFFFFFF]).random(n) for s, n in zip(starts, sizes)]
+    draws = np.concatenate(draws) if draws else np.zeros(0)
+    longest = np.argsort(-sizes, kind="stable")
+    starts, sizes, nd = starts[longest], sizes[longest], nd[longest]
+    for step in range(int(sizes.max(initial=0))):
+        k = int(np.searchsorted(-sizes, -step))  # so many documents are longer
+        at, doc = starts[:k] + step, np.arange(k)
+        own = np.zeros((k, topics))
+        own[doc, z[at]] = 1
+        nd[:k] -= own
+        p = np.cumsum((nd[:k] + alpha) * np.maximum(counts[word[at]] - own + beta, beta) / (totals - own), axis=1)
+        z[at] = np.minimum((p < (draws[at] * p[:, -1])[:, None]).sum(axis=1), topics - 1)
+        nd[doc, z[at]] += 1
+    return pa.table([t.column("doc_id"), t.column("pos"), t.column("word"), pa.array(z, pa.int32())], ["doc_id", "pos", "word", "topic"])
+
+
 def gibbs_round(t: DataFrame, topics: int, alpha: float, beta: float, seed: int, shares: int = 32) -> DataFrame:
     """Every token drawn anew once, document by document, against the last round's counts.
 
-    Documents go to ``shares`` tasks; each brings along the count rows of its
-    own words only, joined by word, so no task needs the whole vocabulary's.
-    Within a share, draws see each other's changes of document counts at once
-    and of word counts at the end of the round (a staleness of one clock).
+    Documents go to at least ``shares`` groups of about ``SHARE_TOKENS`` tokens
+    (:func:`share_of`), which a task takes one by one. A group meets the count
+    rows of its own words, each once, so no task needs the whole vocabulary's
+    and no token carries any. Draws see each other's changes of document counts
+    at once and of word counts at the end of the round (a staleness of one
+    clock), so they don't depend on the shares.
     """
     v = vocabulary(t).count()
     nk = np.zeros(topics)
     for row in topic_counts(t).collect():  # one number per topic
         nk[row.topic] = row.n
-    words = word_topic_counts(t).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("counts"))
-    joined = t.join(words, "word")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "pos"])
-        out = np.empty(len(pdf), np.int32)
-        cache: dict[str, np.ndarray] = {}
-        totals = nk + v * beta
-        rng, doc, nd = None, None, None
-        ids, words_, old, counts = pdf["doc_id"].to_numpy(), pdf["word"].to_numpy(), pdf["topic"].to_numpy(), pdf["counts"].to_numpy()
-        starts = {d: i for i, d in reversed(list(enumerate(ids)))}
-        ends = {d: i + 1 for i, d in enumerate(ids)}
-        for i in range(len(ids)):
-            if ids[i] != doc:
-                doc = ids[i]
-                nd = np.bincount(old[starts[doc] : ends[doc]], minlength=topics).astype(float)
-                rng = np.random.default_rng([seed, int(doc) & 0x7FFFFFFF])
-            w = words_[i]
-            if w not in cache:
-                c = np.zeros(topics)
-                entries = counts[i].items() if isinstance(counts[i], dict) else counts[i]
-                for k, n in entries:
-                    c[int(k)] = n
-                cache[w] = c
-            z = old[i]
-            nd[z] -= 1
-            own = np.zeros(topics)
-            own[z] = 1
-            p = (nd + alpha) * np.maximum(cache[w] - own + beta, beta) / (totals - own)
-            c = np.cumsum(p)
-            new = int(np.searchsorted(c, rng.random() * c[-1]))
-            out[i] = min(new, topics - 1)
-            nd[out[i]] += 1
-        return pd.DataFrame({"doc_id": ids, "pos": pdf["pos"], "word": words_, "topic": out})
-
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(shares)).alias("share")
-    return joined.groupBy(share).applyInPandas(run, "doc_id bigint, pos int, word string, topic int")
+    rows = t.select(share_of(nk.sum(), shares).alias("share"), "doc_id", "pos", "word", "topic")
+    words = word_topic_counts(t).groupBy("word").agg(F.collect_list(F.struct("topic", "n")).alias("counts"))
+    known = rows.select("share", "word").distinct().join(words, "word").select(F.col("share").alias("to"), F.col("word").alias("known"), "counts")
+    totals = nk + v * beta
+
+    def run(mine: pa.Table, own: pa.Table) -> pa.Table:
+        return _draw(mine, own, totals, alpha, beta, seed)
+
+    return rows.groupBy("share").cogroup(known.groupBy("to")).applyInArrow(run, "doc_id bigint, pos int, word string, topic int")
 
 
 def train(documents: DataFrame, topics: int, rounds: int, alpha: float = 0.1, beta: float = 0.1, seed: int = 1, shares: int = 32) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +166,8 @@ def train(documents: DataFrame, topics: int, rounds: int, alpha: float = 0.1, be
     t = staged(random_topics(tokens(documents, topics), topics, seed), "tokens")
     history = []
     for n in range(rounds):
-        t = staged(gibbs_round(t, topics, alpha, beta, seed + n, shares), "tokens")
+        last, t = t, staged(gibbs_round(t, topics, alpha, beta, seed + n, shares), "tokens")
+        discard(last)
         d = doc_llh(t, topics, alpha).agg(F.coalesce(F.sum("llh"), F.lit(0.0)).alias("llh")).first().llh
         history.append((n, float(d), float(word_llh(t, topics, beta).first().llh)))
     return t, spark.createDataFrame(history, "round int, doc_llh double, word_llh double")
