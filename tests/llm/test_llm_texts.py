@@ -236,6 +236,24 @@ def test_text_that_lost_every_letter():
         assert not garbled._lost_in(text), text
 
 
+def test_one_byte_readings_come_from_the_bytes(monkeypatch):
+    """The same readings as sign by sign, without a table of signs for each pair of pages; a stretch is held against a swap once."""
+    stretch = "Gr\u00fc\u00dfe \u00c4\u00e9"
+    want = {stretch.translate(garbled.swap_table(r, w)) for r in garbled.READ_AS for w in garbled.WRITTEN_NARROW if r != w and garbled._bytes(stretch, r) is not None}
+    want = {t for t in want if t != stretch and garbled._proper(t)}
+    swaps = [f"{w}<cp1252" for w in garbled.WRITTEN_NARROW if w != "cp1252"]
+    before = [garbled._changes(stretch, h) for h in swaps]
+
+    def refused(*_):
+        raise AssertionError("a reading was made sign by sign")
+
+    monkeypatch.setattr(garbled, "swap_table", refused)
+    got = garbled.swaps_by_reading(stretch)
+    assert want and want <= set(got)
+    assert [garbled._changes(stretch, h) for h in swaps] == before
+    assert [c for c in map(chr, range(0x10000)) if not garbled._proper(c)] == [c for c in map(chr, range(0x10000)) if c in "\ufffd\uffff" or "\x80" <= c < "\xa0" or "\ue000" <= c < "\uf900"]
+
+
 def test_swap_tables_undo_each_other():
     for line in RUSSIAN:
         spoilt = wrong(line, "koi8_r", "cp1251")

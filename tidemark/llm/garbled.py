@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import math
 import re
@@ -63,8 +64,11 @@ def _bytes(s: str, page: str) -> bytes | None:
         return None
 
 
+IMPROPER = re.compile("[\ufffd\uffff\x80-\x9f\ue000-\uf8ff]")
+
+
 def _proper(s: str) -> bool:
-    return not any(c == LOST or c == BAD or "\x80" <= c < "\xa0" or "" <= c < "豈" for c in s)
+    return IMPROPER.search(s) is None
 
 
 def readings(s: str, depth: int = 3) -> list[tuple[str, str]]:
@@ -117,7 +121,7 @@ def swaps_by_reading(s: str, depth: int = 3) -> dict[str, list[str]]:
                         out[got].append(f"{wide}<{page}")
             for narrow in WRITTEN_NARROW:
                 if narrow != page:
-                    got = s.translate(swap_table(page, narrow))
+                    got = codecs.charmap_decode(raw, "strict", signs(narrow))[0]  # as by swap_table
                     if got != s and _proper(got):
                         out[got].append(f"{narrow}<{page}")
     return out
@@ -142,9 +146,13 @@ def stretches(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
+ASCII_SYMBOLS = {chr(i): chr(i).lower() if chr(i).isalpha() else "0" if chr(i).isdigit() else " " for i in range(128)}
+
+
 def _symbols(s: str) -> str:
     """A stretch as the language model sees it; case counts outside ASCII, since some swaps only change it."""
-    return "\x02" + "".join((c.lower() if c.isalpha() else "0" if c.isdigit() else " ") if c.isascii() else c for c in s) + "\x03"
+    of = ASCII_SYMBOLS.get
+    return "\x02" + "".join([of(c, c) for c in s]) + "\x03"
 
 
 class Bigrams:
@@ -167,10 +175,10 @@ class Bigrams:
     def score(self, s: str) -> float:
         """Log probability of a stretch."""
         z = _symbols(s)
-        cache, out = self.cache, 0.0
-        for i in range(len(z) - 1):
-            p = z[i : i + 2]
-            v = cache.get(p)
+        known, cache, out = self.cache.get, self.cache, 0.0
+        for a, b in zip(z, z[1:]):
+            p = a + b
+            v = known(p)
             if v is None:
                 base = self.base.get(p[1], self.unseen)
                 v = cache[p] = math.log((self.pair.get(p, 0.0) + base) / (self.left.get(p[0], 0.0) + 1.0))
@@ -216,9 +224,15 @@ class SwapModel:
             totals[source] += n
         self.prior = {k: math.log((n + 0.01) / (totals[k[0]] + 1.0)) for k, n in priors.items()}
         self.ciphers: dict[str, list[Cipher]] = {}
+        self.weights: dict[tuple[str, str], float] = {}
 
     def weight(self, source: str, swap: str) -> float:
         """Log share of a swap among a source's stretches; never below what is granted before any was seen."""
+        if (got := self.weights.get((source, swap))) is None:
+            got = self.weights[source, swap] = self._weight(source, swap)
+        return got
+
+    def _weight(self, source: str, swap: str) -> float:
         if swap == SOUND:
             return self.prior.get((source, swap), 0.0)
         floor = LEAST_UTF8 if swap.startswith("utf_8") else LEAST_SWAP
@@ -402,18 +416,21 @@ def _lost_in(text: str) -> bool:
     return False
 
 
+@functools.lru_cache(1 << 17)
 def _changes(s: str, swap: str) -> bool:
     """Whether undoing a swap would change a stretch; of the signs that two code pages share it wouldn't."""
     written, read_as = swap.split("<")
     return written not in WRITTEN_NARROW or read_as not in READ_AS or s.translate(swap_table(read_as, written)) != s
 
 
-def _weighed(s: str, source: str, model: SwapModel) -> tuple[list[tuple[float, str, str]], dict[str, tuple[float, str]]]:
-    """The best readings of a stretch, and by swap the log odds of its reading, without the swap's share, and the reading."""
+def _weighed(s: str, source: str, model: SwapModel) -> tuple[list[tuple[float, str, str]], dict[str, tuple[float, str]], frozenset[str]]:
+    """The best readings of a stretch, by swap the log odds of its reading, without the swap's share, and the reading, and the swaps but of UTF-8 that it speaks for."""
     names = swaps_by_reading(s) if LOST not in s else {}
     gains = model.gains(source, s, [(hs[0], r) for r, hs in names.items()])
     known = {h: (g - model.weight(source, k), r) for g, k, r in gains for h in names[r]}
-    return [g for g in gains if g[0] > -20][:6], known
+    best = [g for g in gains if g[0] > -20][:6]
+    texts = {r for _, _, r in best}
+    return best, known, frozenset(h for h, (g, r) in known.items() if not h.startswith("utf_8") and (g >= CLEAR or r in texts))
 
 
 def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: float = 1.0, least_swap: float = 12.0) -> tuple[str, str] | None:
@@ -435,7 +452,7 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
         key = (source, s)
         if key not in cache:
             cache[key] = _weighed(s, source, model)
-        gains, known = cache[key]
+        gains, known, speaks = cache[key]
         if not gains:
             if s not in seen:
                 seen.add(s)
@@ -454,8 +471,7 @@ def restore(text: str, source: str, model: SwapModel, cache: dict, least_utf8: f
             evidence[gains[0][1]] += gains[0][0]
         if s not in seen:  # a repeated stretch is no further evidence
             seen.add(s)
-            best_texts = {r for _, _, r in gains}
-            for h in {h for h, (g, r) in known.items() if not h.startswith("utf_8") and (g >= CLEAR or r in best_texts)} | swaps:
+            for h in speaks | swaps:
                 odds = known[h][0] if h in known else -AGAINST * _changes(s, h)
                 swaps.add(h)
                 evidence[h] += odds if odds >= CLEAR else max(min(odds, 0.0), -AGAINST)
